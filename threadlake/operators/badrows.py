@@ -237,10 +237,12 @@ def export_failures(rows: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def split_rows(rows: DataFrame, key: str, bad: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(loaded, rejected): rows without a failure, and the failing ones with ``reasons``."""
+    """(loaded, rejected): rows without a failure, and the failing ones with ``reasons`` (which
+    takes the place of a column of that name)."""
     mark = bad.select(F.col("row_key").alias("__key"), "reasons")
     loaded = rows.join(mark.select("__key"), rows[key] == F.col("__key"), "left_anti")
-    return loaded, rows.join(mark, rows[key] == F.col("__key")).drop("__key")
+    rest = rows.drop("reasons")
+    return loaded, rest.join(mark, rest[key] == F.col("__key")).drop("__key")
 
 
 def load_export(rows: DataFrame, types: DataFrame) -> DataFrame:
