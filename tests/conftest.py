@@ -10,4 +10,4 @@ from threadlake.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "threadlake-tests", **{"spark.driver.memory": "4g"})
+    return local_session(4, "threadlake-tests", **{"spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "4"})

@@ -11,6 +11,7 @@ NOTE_QUERY = "memory queue"
 LINT = (r"[a-z]{3}-[0-9a-f]{4}", r"(?:fix|bat)-[0-9a-f]{4}")
 
 _INSTANT = r"'(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)'"
+INSTANT_TEXT = _INSTANT
 _W = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
@@ -35,20 +36,24 @@ def _flag(name: str) -> str:
     return f"coalesce(try_cast(j ->> '$.{name}' AS BOOLEAN), false)"
 
 
+# the SQL engine lets a comma stand before a closing bracket
+STRICT_JSON = r"""CASE WHEN NOT regexp_matches(regexp_replace(raw, '"(?:[^"\\]|\\.)*"', '""', 'g'), ',\s*[}\]]') THEN try_cast(raw AS JSON) END"""
+
 _R = f"""R AS (
     SELECT line_id, file_id, line_no, j ->> '$.type' AS type, coalesce(nullif(j ->> '$.sessionId', ''), nullif(j ->> '$.session_id', '')) AS own_session,
            j ->> '$.timestamp' AS ts, nullif(j ->> '$.cwd', '') AS cwd, nullif(j ->> '$.gitBranch', '') AS git_branch, nullif(j ->> '$.entrypoint', '') AS entrypoint,
            {_flag("isSidechain")} AS is_sidechain, {_flag("isMeta")} OR {_flag("isCompactSummary")} OR {_flag("isVisibleInTranscriptOnly")} AS is_meta,
            nullif(j ->> '$.customTitle', '') AS custom_title, nullif(coalesce(j ->> '$.aiTitle', j ->> '$.agentName'), '') AS auto_title, j ->> '$.subtype' AS subtype,
            json_extract(j, '$.message.content') AS content, json_extract(j, '$.message.usage') AS usage
-    FROM (SELECT *, try_cast(raw AS JSON) AS j FROM transcript_lines WHERE has_newline) WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'),
+    FROM (SELECT *, {STRICT_JSON} AS j FROM transcript_lines WHERE has_newline) WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'),
   RT AS (SELECT *, CASE json_type(content) WHEN 'ARRAY' THEN array_to_string(list_transform(list_filter(json_extract(content, '$[*]'), lambda b: b ->> '$.type' = 'text'), lambda b: coalesce(b ->> '$.text', '')), chr(10))
                 WHEN 'VARCHAR' THEN content ->> '$' ELSE '' END AS text FROM R),
   I AS (SELECT * FROM (SELECT *, last_value(own_session IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no) AS session_id FROM RT WHERE NOT is_meta) WHERE session_id IS NOT NULL)"""
 
 
 def _count(low: str, term: str) -> str:
-    return f"len(list_filter(range(1, length({low}) + 1), lambda p: substr({low}, p, {len(term)}) = '{term}'))"
+    """Occurrences; right for terms of which no beginning is also an end."""
+    return f"(length({low}) - length(replace({low}, '{term}', ''))) // {len(term)}"
 
 
 def _graded(source: str, columns: list[str], long: list[str], keep: str = "true") -> str:

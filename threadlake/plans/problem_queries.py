@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlake.plans.log_sql import INSTANT_TEXT, STRICT_JSON
 from threadlake.operators import badrows, dense, incremental, nested
 from threadlake.sources.tables import table
 
@@ -63,9 +64,40 @@ def p5_loaded_export(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_project_totals, p1_session_totals, p2_found, p4_found, p4_messages, p4_content, p4_usage, p5_found, p5_reasons, p5_loaded_export)}
 
+_FIELD = r"""(?:"(?:[^"]|"")*"|[^",\r\n]*)"""
+
+
+def _instant(c: str) -> str:
+    return f"(regexp_full_match({c}, {INSTANT_TEXT}) AND NOT starts_with({c}, '0000') AND try_cast({c} AS TIMESTAMPTZ) IS NOT NULL)"
+
+
+def _bare(c: str) -> str:
+    return f"""CASE WHEN starts_with({c}, '"') THEN replace(substr({c}, 2, length({c}) - 2), '""', '"') ELSE {c} END"""
+
+
+_BAD_LINES = f"""LN AS (SELECT line_id, {STRICT_JSON} AS j FROM transcript_lines WHERE has_newline),
+    BL AS (SELECT line_id FROM LN WHERE j IS NULL OR json_type(j) <> 'OBJECT' OR json_type(j, '$.type') IS DISTINCT FROM 'VARCHAR' OR (j ->> '$.type') NOT IN (SELECT type_name FROM record_types)
+           OR NOT (coalesce(json_type(j, '$.timestamp'), 'NULL') = 'NULL' OR (json_type(j, '$.timestamp') = 'VARCHAR' AND {_instant("(j ->> '$.timestamp')")})))"""
+
 _BLANK = r"'^[\s\p{Z}\x{85}\x1c-\x1f]*$'"
 
 SQL = {
+    "p4_found": f"""
+        WITH RECURSIVE {_BAD_LINES}, MS AS (SELECT line_id, j -> '$.message' AS m FROM LN WHERE line_id NOT IN (SELECT line_id FROM BL) AND json_type(j, '$.message') = 'OBJECT'),
+             N(line_id, path, el) AS (
+                 SELECT line_id, CAST(k AS VARCHAR), el FROM (SELECT line_id, unnest(l) AS el, generate_subscripts(l, 1) - 1 AS k
+                     FROM (SELECT line_id, CASE json_type(m, '$.content') WHEN 'VARCHAR' THEN [m -> '$.content'] WHEN 'ARRAY' THEN json_extract(m, '$.content[*]') ELSE [] END AS l FROM MS))
+                 UNION ALL
+                 SELECT line_id, path || '.' || k, el FROM (SELECT line_id, path, unnest(l) AS el, generate_subscripts(l, 1) - 1 AS k
+                     FROM (SELECT line_id, path, CASE json_type(el, '$.content') WHEN 'VARCHAR' THEN [el -> '$.content'] WHEN 'ARRAY' THEN json_extract(el, '$.content[*]') ELSE [] END AS l FROM N WHERE json_type(el) = 'OBJECT'))),
+             IT AS (SELECT line_id, unnest(l) AS el, generate_subscripts(l, 1) - 1 AS k FROM (SELECT line_id, json_extract(m, '$.usage.iterations[*]') AS l FROM MS WHERE json_type(m, '$.usage.iterations') = 'ARRAY'))
+        SELECT line_id, 'content' AS node_kind, path AS node_path FROM N WHERE json_type(el) IN ('VARCHAR', 'OBJECT')
+        UNION ALL SELECT line_id, 'iteration', CAST(k AS VARCHAR) FROM IT WHERE json_type(el) = 'OBJECT'""",
+    "p5_found": f"""
+        WITH {_BAD_LINES}, EX AS (SELECT row_id, raw, regexp_full_match(raw, '{_FIELD}(?:,{_FIELD})*') AS sound, {_bare(f"regexp_extract(raw, '^{_FIELD}')")} AS type, {_bare(f"regexp_extract(raw, '^{_FIELD},({_FIELD})', 1)")} AS ts,
+                length(regexp_replace(raw, '"(?:[^"]|"")*"', 'q', 'g')) - length(replace(regexp_replace(raw, '"(?:[^"]|"")*"', 'q', 'g'), ',', '')) + 1 AS width FROM export_rows)
+        SELECT 'transcript_lines' AS origin, line_id AS row_key FROM BL UNION ALL
+        SELECT 'export_rows', row_id FROM EX WHERE NOT coalesce(sound AND width = 6 AND type IN (SELECT type_name FROM record_types) AND (ts = '' OR {_instant('ts')}), false)""",
     "p1_found": f"""
         WITH v AS (SELECT 'sessions.project' AS field_name, project AS key_value FROM sessions
                    UNION ALL SELECT 'turns.session_id', session_id FROM turns),
