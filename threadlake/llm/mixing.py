@@ -120,12 +120,14 @@ def _narrow(path: str, names: list[str], weights: np.ndarray):
 
 def soft_members(documents: DataFrame, tokenizer: str = TOKENIZER, sample_rows: int = SAMPLE_ROWS, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """The narrow table (item, doc_id, n_tokens, known, post) and the source names of post. A
-    source is known if at least one document in a thousand carries it, or if it is named."""
+    source is known if at least one document in a thousand carries it, or if it is named and
+    any document carries it."""
     key = source_key(F.col("source"))
     counts = documents.filter(F.col("source").isNotNull()).groupBy(key.alias("s")).count()
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     found = [r.s for r in counts.filter(F.col("count") * 1000 >= total).collect()]  # at most 1000
-    known = sorted(set(found) | set(names or []))
+    named = [r.s for r in counts.filter(F.col("s").isin(names)).collect()] if names else []  # at most MAX_TARGETS
+    known = sorted(set(found) | set(named))
     place = {s: k for k, s in enumerate(known)}
     labelled = documents.filter(key.isin(known) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     unknown = documents.filter(~F.coalesce(key.isin(known), F.lit(False))).limit(1).count()
@@ -180,8 +182,12 @@ def fit_rates(narrow: DataFrame, names: list[str], targets: list, total_tokens:
             weight[at], caps[at] = t.weight, t.cap
     shape = weight.shape
     ones = np.ones(shape)
+    if not shape[0] or not shape[1]:
+        return mixes, caps, caps, [], caps
     mass = _add_up(narrow, _sums(ones, ones, []), shape)[:1]  # expected tokens of each source
-    room = mass * caps
+    # a source that is only guessed at must not bound the size of the mix
+    sure = _add_up(narrow.filter("known"), _sums(ones, ones, []), shape)[:1]
+    room = sure * caps
     weight = np.where(room > 0, weight, 0)
     share = weight / np.maximum(weight.sum(1, keepdims=True), 1e-300)
     with np.errstate(divide="ignore", invalid="ignore"):
