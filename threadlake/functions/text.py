@@ -199,7 +199,8 @@ def epoch_seconds(iso: Column) -> Column:
 
 def age_days(iso: Column, as_of: float, missing: float = 365.0) -> Column:
     """Days before the moment as_of (epoch seconds), never negative."""
-    return F.coalesce(F.greatest((F.lit(as_of) - epoch_seconds(iso)) / 86400.0, F.lit(0.0)), F.lit(missing))
+    days = (F.lit(as_of) - epoch_seconds(iso)) / 86400.0
+    return F.when(days.isNull(), missing).otherwise(F.greatest(days, F.lit(0.0)))
 
 
 def age_bucket(seconds: Column) -> Column:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 AS_OF = 1_785_542_400.0  # 2026-08-01T00:00:00Z
-QUERY = 'snapshot "stays readable" pipeline'
-PHRASES = ["snapshot", "stays readable", "pipeline"]
+QUERY = 'snapshot "stays readable"'
+PHRASES = ["snapshot", "stays readable"]
 FALLBACK = "zqxv-not-there ledger wizard"
 SHORT = "Is"
 NOTE_QUERY = "memory queue"
@@ -78,7 +78,7 @@ def _graded(source: str, columns: list[str], long: list[str], keep: str = "true"
 
 
 _SEARCH = f"""WITH {_T}, {_S}, {_H}, {_graded("T", ["text"], PHRASES, "NOT coalesce(is_sidechain, false)")},
-    WH AS (SELECT *, round((CASE WHEN bm = 0 THEN 1.0 ELSE bm END) / (1 + coalesce(greatest(({AS_OF} - {_epoch("ts")}) / 86400.0, 0.0), 365.0) / 60.0), 9) AS w
+    WH AS (SELECT *, round((CASE WHEN bm = 0 THEN 1.0 ELSE bm END) / (1 + (CASE WHEN {_epoch("ts")} IS NULL THEN 365.0 ELSE greatest(({AS_OF} - {_epoch("ts")}) / 86400.0, 0.0) END) / 60.0), 9) AS w
            FROM G WHERE session_id NOT IN (SELECT session_id FROM H)),
     RK AS (SELECT session_id, round(max(w) * (1 + 0.15 * ln(1 + count(*))), 6) AS score, count(*) AS hits, arg_max(turn_id, {{'w': w, 't': -turn_id}}) AS best_turn, min(grade) AS grade
            FROM WH WHERE session_id IN (SELECT session_id FROM S) GROUP BY session_id ORDER BY score DESC, session_id LIMIT 8)"""
