@@ -56,6 +56,8 @@ NOTE_REDACTIONS = [
     (r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}", "[REDACTED]"),
     (r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]+", "[REDACTED]"),
 ]
+# parts in lower case of which every text that a rule above can match holds at least one
+HINTS = ["sk-", "apikey", "api_key", "api-key", "passw", "secret", "token", "key=", "bearer", "_live_", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyj", "private key"]
 TAGS = ["system-reminder", "local-command-stdout", "local-command-caveat", "persisted-output", "task-notification", "command-name", "command-message", "command-args"]
 NOTE_TAGS = ["system-reminder", "local-command-stdout", "local-command-caveat", "persisted-output", "task-notification", "command-message", "command-args"]
 CAVEAT = r"(?m)^Caveat: The messages below.*?$"
@@ -102,10 +104,27 @@ def collapse_blanks(text: Column) -> Column:
 
 
 def redact(text: Column, rules: list[tuple[str, str]] = REDACTIONS) -> Column:
-    """Values that look like credentials, masked by rules applied in order."""
-    for pattern, mask in rules:
-        text = F.regexp_replace(text, pattern, mask)
-    return text
+    """Values that look like credentials, masked by rules applied in order. The rules run only
+    on texts that hold one of their fixed parts."""
+
+    def masked(t: Column) -> Column:
+        for pattern, mask in rules:
+            t = F.regexp_replace(t, pattern, mask)
+        return t
+
+    return bound(text, lambda t: F.when(_hinted(t), masked(t)).otherwise(t))
+
+
+def _hinted(text: Column) -> Column:
+    """Whether any hint occurs; by way of capitals, so that letters of the same folding agree."""
+
+    def any_of(folded: Column) -> Column:
+        out = folded.contains(HINTS[0])
+        for hint in HINTS[1:]:
+            out = out | folded.contains(hint)
+        return out
+
+    return bound(F.lower(F.upper(text)), any_of)
 
 
 def clean_text(text: Column) -> Column:
@@ -122,10 +141,14 @@ def clean_note(text: Column) -> Column:
 
 def leaks(text: Column) -> Column:
     """Whether a credential's value is exposed."""
-    out = F.lit(False)
-    for pattern in LEAKS:
-        out = out | text.rlike(pattern)
-    return F.coalesce(out, F.lit(False))
+
+    def matched(t: Column) -> Column:
+        out = t.rlike(LEAKS[0])
+        for pattern in LEAKS[1:]:
+            out = out | t.rlike(pattern)
+        return out
+
+    return F.coalesce(bound(text, lambda t: _hinted(t) & matched(t)), F.lit(False))
 
 
 def leak_hits(text: Column) -> Column:
