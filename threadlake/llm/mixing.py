@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.llm.tokens import TOKENIZER, counter
-from threadlake.storage import materialize
+from threadlake.storage import materialize, spread
 
 #: Labelled documents the classifier is fitted on, at most, and how long they may be.
 SAMPLE_ROWS = 2_000
@@ -133,8 +133,8 @@ def soft_members(documents: DataFrame, tokenizer: str = TOKENIZER, sample_rows:
     unknown = documents.filter(~F.coalesce(key.isin(known), F.lit(False))).limit(1).count()
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", key.alias("s")).limit(sample_rows).collect() if unknown else []
     weights = fit_classifier([r.text for r in sample], [place[r.s] for r in sample], len(known))
-    rows = documents.select(F.monotonically_increasing_id().alias("item"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", key.alias("source"))
-    narrow = rows.mapInArrow(_narrow(tokenizer, known, weights), "item bigint, doc_id bigint, n_tokens bigint, known boolean, post array<double>")
+    rows = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", key.alias("source")))
+    narrow = rows.select(F.monotonically_increasing_id().alias("item"), "doc_id", "text", "source").mapInArrow(_narrow(tokenizer, known, weights), "item bigint, doc_id bigint, n_tokens bigint, known boolean, post array<double>")
     return materialize(narrow.filter("n_tokens > 0"), "members")[0], known
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadlake.storage import spread
+
 #: Rank file; on a cluster, a path that every executor sees.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's texts were split before merging.
@@ -47,5 +49,5 @@ def counter(path: str):
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(item, doc_id, n_tokens): one row per row of documents; item tells repeated ids apart and is
     stable once the result is written."""
-    rows = documents.select(F.monotonically_increasing_id().alias("item"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(counter(tokenizer), "item bigint, doc_id bigint, n_tokens bigint")
+    rows = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
+    return rows.select(F.monotonically_increasing_id().alias("item"), "doc_id", "text").mapInArrow(counter(tokenizer), "item bigint, doc_id bigint, n_tokens bigint")
