@@ -126,6 +126,12 @@ def test_windows(spark):
     assert catalog.resolve(turns(spark), "a").count() == 1 and catalog.sample(turns(spark), 2).count() == 2
 
 
+def test_one_session_with_most_turns(spark):
+    rows = spark.range(4000).select(F.col("id").alias("turn_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("s"), F.col("id"))).otherwise("hot").alias("session_id"), F.lit(1).alias("file_id"), (-F.col("id")).alias("seq"), F.col("id").alias("line_no"), F.lit("t").alias("ts"))
+    got = sorted((r.rn, r.turn_id) for r in catalog.numbered(rows.repartition(5)).filter("session_id = 'hot'").collect())
+    assert got == [(k + 1, t) for k, t in enumerate(t for t in range(3999, -1, -1) if t % 10)]
+
+
 def test_upkeep(spark):
     manifest = spark.createDataFrame([("same", 10, 5.0, 10), ("more", 10, 5.0, 10), ("less", 10, 5.0, 10), ("old", 10, 9.0, 10)], "path string, size bigint, mtime double, offset bigint")
     present = spark.createDataFrame([("same", 10, 5.0), ("more", 12, 5.0), ("less", 9, 5.0), ("old", 12, 5.0), ("new", 1, 1.0)], "path string, size bigint, mtime double")

@@ -1,15 +1,18 @@
 """Catalogue listings and windows of a conversation.
 
-Windows are cut for many sessions at once. Ranks within a session are by a sort that spills; the
-anchor of a context is found by a plain aggregation, so no conversation is gathered in a task.
+Windows are cut for many sessions at once. Places within a session come from a range-partitioned
+sort and partition offsets, and the anchor of a context from a plain aggregation, so a session that
+holds most turns is spread over tasks. Only narrow columns are sorted; texts are fetched by turn_id
+for the few turns that are shown.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import like_ascii
+from threadlake.storage import materialize
 
 
 def listing(sessions: DataFrame, limit: int = 30, project: str | None = None, since: str | None = None, grep: str | None = None) -> DataFrame:
@@ -25,12 +28,6 @@ def listing(sessions: DataFrame, limit: int = 30, project: str | None = None, si
     return rows.orderBy(F.desc_nulls_last("ended_at"), "session_id").limit(limit)
 
 
-def order() -> list[Column]:
-    """Conversation order: undated turns last, then time, file and place in it."""
-    missing = F.coalesce("ts", F.lit("")) == ""
-    return [missing.asc(), F.coalesce("ts", F.lit("")).asc(), F.col("file_id").asc(), F.col("seq").asc(), F.col("turn_id").asc()]
-
-
 def shown(turns: DataFrame) -> DataFrame:
     """Main-thread turns; of sessions that have none, the sidechain ones."""
     side = F.coalesce("is_sidechain", F.lit(False))
@@ -39,8 +36,19 @@ def shown(turns: DataFrame) -> DataFrame:
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """turns with ``rn``, their place in the session's conversation."""
-    return turns.withColumn("rn", F.row_number().over(Window.partitionBy("session_id").orderBy(*order())))
+    """(session_id, turn_id, file_id, seq, line_no, rn): rn is the turn's place in its session's
+    conversation; undated turns come last, then time, file and place in it decide."""
+    stamp = F.coalesce("ts", F.lit(""))
+    narrow = turns.select("session_id", "turn_id", "file_id", "seq", "line_no", (stamp == "").alias("undated"), stamp.alias("ts"))
+    keys = ["undated", "ts", "file_id", "seq", "turn_id"]
+    ranged = narrow.repartitionByRange("session_id", *keys).withColumn("pid", F.spark_partition_id())
+    ranged, _ = materialize(ranged, "order")
+    counts = ranged.groupBy("session_id", "pid").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("session_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("session_id", "pid", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    local = F.row_number().over(Window.partitionBy("session_id", "pid").orderBy(*keys))
+    placed = ranged.withColumn("local", local).join(offsets, ["session_id", "pid"])
+    return placed.select("session_id", "turn_id", "file_id", "seq", "line_no", (F.col("before") + F.col("local")).alias("rn"))
 
 
 def head(turns: DataFrame, n: int) -> DataFrame:
