@@ -76,14 +76,14 @@ def test_against_brute_force(spark, monkeypatch, seed, segment):
 
 def test_one_long_conversation(spark, monkeypatch):
     monkeypatch.setattr(conversations, "SEGMENT", 16)
-    rows = spark.range(1, 3001).select(
-        F.col("id").alias("turn_id"), F.lit("s").alias("session_id"), F.floor((F.col("id") - 1) / 300).alias("file_id"), ((F.col("id") - 1) % 300 + 1).alias("seq"),
+    rows = spark.range(1, 1001).select(
+        F.col("id").alias("turn_id"), F.lit("s").alias("session_id"), F.floor((F.col("id") - 1) / 100).alias("file_id"), ((F.col("id") - 1) % 100 + 1).alias("seq"),
         F.when(F.col("id") % 2 == 1, "user").otherwise("assistant").alias("role"), F.lit(False).alias("is_sidechain"),
-        F.format_string("2025-01-01T%02d:00:00Z", F.floor((F.col("id") - 1) / 300)).alias("ts"), F.lit("x").alias("text"),
+        F.format_string("2025-01-01T%02d:00:00Z", F.floor((F.col("id") - 1) / 100)).alias("ts"), F.lit("x").alias("text"),
     )
     got = sorted((r.pos, r.turn_id) for r in conversations.rebuild(rows).collect())
-    assert got == [(k, k) for k in range(1, 3001)]
-    assert conversations.rebuild(rows.filter("turn_id <> 1500")).count() == 0
+    assert got == [(k, k) for k in range(1, 1001)]
+    assert conversations.rebuild(rows.filter("turn_id <> 500")).count() == 0
 
 
 def test_empty_and_text(spark):

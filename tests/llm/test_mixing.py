@@ -6,7 +6,7 @@ DOCS = "doc_id bigint, text string, source string, mix string, rate string, copi
 TARGETS = "mix_name string, source string, weight double, max_repeats bigint, tokens string"
 
 
-def docs(spark, n=3000, seed=1):
+def docs(spark, n=1200, seed=1):
     rng = random.Random(seed)
     spelled = {"a_b": ["a_b", "A_B", " a-b", "a b "], "c": ["c", "C "], "d": ["d"]}
     rows = []

@@ -76,7 +76,7 @@ def _vector(text: str) -> np.ndarray:
     return x / (np.linalg.norm(x) or 1)
 
 
-def fit_classifier(texts: list[str], labels: list[int], classes: int, rounds: int = 200) -> np.ndarray:
+def fit_classifier(texts: list[str], labels: list[int], classes: int, rounds: int = 80) -> np.ndarray:
     """Weights of a multinomial logistic regression (classes x dimensions and intercept)."""
     x = np.array([np.append(_vector(t), 1.0) for t in texts]).reshape(len(texts), DIMENSIONS + 1)
     y = np.eye(classes)[labels] if texts else np.zeros((0, classes))
