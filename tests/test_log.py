@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import text as X
 from threadlake.operators import catalog, folds, maintain, search, vectors
+from threadlake.plans import log_queries
 from threadlake.sources import transcripts
 from threadlake.streaming import alarm
 
@@ -216,3 +217,29 @@ def test_delta(spark):
     notes = spark.createDataFrame([("s", "a", 9, False, "other"), ("s", "b", 1, False, "s"), ("s", "c", 5, False, None), ("t", "d", 1, False, "s")], "session_id string, path string, mtime int, own boolean, origin string")
     assert [(r.session_id, r.path) for r in maintain.choose_note(notes).collect()] == [("s", "b")]
     assert X.TAGS and alarm.stale(F.lit("compact"), F.lit(1), F.lit(2)) is not None
+
+
+def test_delta_of_edits_and_commands(spark):
+    """Reads take no places of edits, a budget of 14,000 keeps what 600 drops, commands are there."""
+    use = lambda name, **i: {"type": "tool_use", "name": name, "input": i}
+    said = [("user", "m" * 500)] * 5
+    done = [("assistant", [use("Edit", file_path=f"/e{k}"), *[use("Read", file_path=f"/r{k}-{j}") for j in range(3)], use("Bash", command=f"run  {k}\n" + "x" * 400), use("NotebookEdit", notebook_path="/n")]) for k in range(35)]
+    rows = [(1, 1, n, True, json.dumps({"type": t, "sessionId": "s", "timestamp": f"2025-01-01T{n // 60 + 1:02}:{n % 60:02}:00Z", "message": {"role": t, "content": c}})) for n, (t, c) in enumerate([("user", "start"), ("user", "soon"), *said, *done])]
+    lines = spark.createDataFrame(rows, "line_id bigint, file_id bigint, line_no bigint, has_newline boolean, raw string")
+    recs = transcripts.records(lines, ["line_id", "file_id", "line_no"])
+    used = folds.delta_uses(recs, ["file_id", "line_no"]).collect()
+    assert sum(r.kind == "edit" for r in used) == 70 and not [r for r in used if r.value.startswith("/r")]
+    command = next(r.value for r in used if r.kind == "command")
+    assert command.startswith("run 0 x") and command.endswith(" ...[+106 chars]")
+
+
+def test_delta_queries_are_whole(spark, tmp_path):
+    use = lambda name, **i: {"type": "tool_use", "name": name, "input": i}
+    records = [("user", "start"), ("user", "soon"), *[("user", "m" * 500)] * 5]
+    records += [("assistant", [use("Edit", file_path=f"/e{k}"), *[use("Read", file_path=f"/r{k}-{j}") for j in range(3)], use("Bash", command=f"run {k}")]) for k in range(35)]
+    rows = [(n, 1, n, True, json.dumps({"type": t, "sessionId": "s", "timestamp": f"2025-01-01T{n // 60 + 1:02}:{n % 60:02}:00Z", "message": {"role": t, "content": c}})) for n, (t, c) in enumerate(records)]
+    spark.createDataFrame(rows, "line_id bigint, file_id bigint, line_no bigint, has_newline boolean, raw string").write.parquet(f"{tmp_path}/transcript_lines.parquet")
+    q = log_queries.QUERIES
+    assert q["delta_messages_full"](spark, str(tmp_path)).count() == 5
+    assert {r.value for r in q["delta_edits"](spark, str(tmp_path)).collect()} == {f"/e{k}" for k in range(35)}
+    assert sorted(r.value for r in q["delta_commands"](spark, str(tmp_path)).collect()) == sorted(f"run {k}" for k in range(5, 35))

@@ -8,9 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.functions.text import leaks, project_for, redact
+from threadlake.functions.text import WS, leaks, project_for, redact, shorten, strip_text
 from threadlake.sources.transcripts import KNOWN_BLOCKS, KNOWN_RECORDS, TITLE_TYPES, TURN_TYPES, blocks, blocks_text
 
+#: The tools that change a file, and those that run commands.
+EDITORS = ["Write", "Edit", "MultiEdit", "NotebookEdit"]
+SHELLS = ["Bash"]
+
 
 def inherit_sessions(records: DataFrame, file: str = "file_id", line: str = "line_no") -> DataFrame:
     """Records but meta ones, with ``session_id``: their own or the last above in the file; those
@@ -98,6 +102,20 @@ def touches(records: DataFrame, keep: list[str], path_chars: int = 400, command_
     return rows.select(*keep, "pos", F.inline(used)).filter("value is not null and value <> ''")
 
 
+def delta_uses(records: DataFrame, keep: list[str], editors: list[str] = EDITORS, shells: list[str] = SHELLS, command_chars: int = 300) -> DataFrame:
+    """Files written or edited and shell commands of assistant records: (keep..., pos, kind, tool,
+    value). A path is whole; a command is put on one line, masked and then shortened."""
+    rows = records.filter(F.col("type") == "assistant").select(*keep, F.posexplode(blocks(F.col("content"))).alias("pos", "b"))
+    rows = rows.filter(F.try_variant_get("b", "$.type", "string") == "tool_use")
+    got = lambda p: F.nullif(F.try_variant_get("b", p, "string"), F.lit(""))
+    path = F.coalesce(got("$.input.file_path"), got("$.input.notebook_path"))
+    line = strip_text(F.regexp_replace(got("$.input.command"), f"(?U)[{WS}]+", " "))
+    rows = rows.select(*keep, "pos", got("$.name").alias("tool"), path.alias("path"), line.alias("line"))
+    edit, run = F.col("tool").isin(editors) & F.col("path").isNotNull(), F.col("tool").isin(shells) & F.col("line").isNotNull()
+    kind = F.when(edit, "edit").when(run, "command")
+    return rows.select(*keep, "pos", kind.alias("kind"), "tool", F.when(edit, redact(F.col("path"))).otherwise(shorten(redact(F.col("line")), command_chars)).alias("value")).filter("kind is not null")
+
+
 def touch_counts(used: DataFrame, keys: list[str], line: str = "line_no", ts: str = "ts") -> DataFrame:
     """Touches counted by keys, kind and value, with the times of the first and the last in
     scan order."""

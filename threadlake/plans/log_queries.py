@@ -1,8 +1,9 @@
 """Queries of the log engine: search, vectors, predicates, folds, catalogue, texts, upkeep, state.
 
 Bindings to the archive's tables: notes are documents (name from source, description from project,
-mtime from doc_id), vectors are embeddings by turn_id or doc_id, alarm events are events. The moment
-"now" is fixed, so results are repeatable.
+mtime from doc_id), vectors are embeddings by turn_id or doc_id, alarm events are events. The archive's tools
+WriteFile and Shell count like the reference's Write and Bash. The moment "now" is fixed, so
+results are repeatable.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from threadlake.functions import text as X
 from threadlake.functions.instants import is_instant
 from threadlake.operators import catalog, folds, maintain, search, vectors
 from threadlake.operators.incremental import good_positions, present_files
-from threadlake.plans.log_sql import AS_OF, FALLBACK, LINT, NOTE_QUERY, PHRASES, QUERY, SHORT, SQL
+from threadlake.plans.log_sql import AS_OF, DELTA_MAX, FALLBACK, LINT, NOTE_QUERY, PHRASES, QUERY, SHORT, SQL
 from threadlake.sources.tables import table
 from threadlake.sources.transcripts import blocks_text, records, split_files
 from threadlake.storage import broadcast_if_bounded, shared_dir
@@ -425,6 +426,25 @@ def delta_messages(spark, d):
     return alarm.within_budget(alarm.keep_last(said, "file_id", ["line_no"], 25), "file_id", ["line_no"], "text", 600)
 
 
+def delta_messages_full(spark, d):
+    """delta_messages with the reference's budget."""
+    said = _delta(spark, d).filter("type = 'user'").select("file_id", "line_no", blocks_text(F.col("content")).alias("text")).filter(F.length("text") >= 2)
+    return alarm.within_budget(alarm.keep_last(said, "file_id", ["line_no"], 25), "file_id", ["line_no"], "text", DELTA_MAX)
+
+
+def delta_edits(spark, d):
+    """The last 40 files that were written or edited, by tool; reads take no places."""
+    used = folds.delta_uses(_delta(spark, d), ["file_id", "line_no"], [*folds.EDITORS, "WriteFile"], [*folds.SHELLS, "Shell"]).filter("kind = 'edit'")
+    last = used.groupBy("file_id", "tool", "value").agg(F.max(F.struct("line_no", "pos")).alias("at")).select("file_id", "tool", "value", "at.line_no", "at.pos")
+    return alarm.keep_last(last, "file_id", ["line_no", "pos"], 40)
+
+
+def delta_commands(spark, d):
+    """The last 30 shell commands."""
+    used = folds.delta_uses(_delta(spark, d), ["file_id", "line_no"], [*folds.EDITORS, "WriteFile"], [*folds.SHELLS, "Shell"]).filter("kind = 'command'").select("file_id", "line_no", "pos", "value")
+    return alarm.keep_last(used, "file_id", ["line_no", "pos"], 30)
+
+
 def note_selection(spark, d):
     docs = table(spark, d, "documents").filter("session_id is not null")
     kind = F.pmod("doc_id", F.lit(3))
@@ -439,7 +459,7 @@ _ALL = [
     sessions_list, show_ordered, show_context, show_last, show_head,
     strip_tag_pairs, collapse_ws, clean_text, redact_text, leak_audit, marker_hits, slugify, project_for, local_date, age_bucket, lint_lines, memory_parse, ingest_roundtrip,
     manifest_plan, snapshot_diff, forget_antijoin, forget_dry_run, longest_prefix_project,
-    tier_alarm, tier_alarm_stream, thresholds, cycle_start, delta_counts, delta_files, delta_messages, note_selection,
+    tier_alarm, tier_alarm_stream, thresholds, cycle_start, delta_counts, delta_files, delta_messages, delta_messages_full, delta_edits, delta_commands, note_selection,
 ]
 
 QUERIES = {f.__name__: f for f in _ALL} | {"blocks_text": blocks_text_query}

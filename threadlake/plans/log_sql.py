@@ -8,6 +8,7 @@ PHRASES = ["snapshot", "stays readable"]
 FALLBACK = "zqxv-not-there ledger wizard"
 SHORT = "Is"
 NOTE_QUERY = "memory queue"
+DELTA_MAX = 14_000
 LINT = (r"[a-z]{3}-[0-9a-f]{4}", r"(?:fix|bat)-[0-9a-f]{4}")
 
 _INSTANT = r"'(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)'"
@@ -174,6 +175,11 @@ _DATED = f"""D AS (SELECT *, {_epoch("ts")} AS epoch, coalesce(subtype = 'compac
 _DELTA = f"""{_DATED}, SI AS (SELECT file_id, min(epoch) + 60.0 AS since FROM D WHERE epoch IS NOT NULL GROUP BY file_id),
     DE AS (SELECT D.* FROM D JOIN SI USING (file_id) WHERE epoch > since AND NOT is_sidechain)"""
 
+_USES = f"""B AS (SELECT file_id, line_no, generate_subscripts(bs, 1) - 1 AS pos, unnest(bs) AS b FROM (SELECT *, json_extract(content, '$[*]') AS bs FROM DE WHERE type = 'assistant' AND json_type(content) = 'ARRAY')),
+    TU AS (SELECT file_id, line_no, CAST(pos AS INTEGER) AS pos, b ->> '$.name' AS tool, coalesce(nullif(b ->> '$.input.file_path', ''), nullif(b ->> '$.input.notebook_path', '')) AS path, nullif(b ->> '$.input.command', '') AS command FROM B WHERE b ->> '$.type' = 'tool_use'),
+    ED AS (SELECT file_id, tool, {_redacted("path")} AS value, max({{'line_no': line_no, 'pos': pos}}) AS p FROM TU WHERE tool IN ('Write', 'Edit', 'MultiEdit', 'NotebookEdit', 'WriteFile') AND path IS NOT NULL GROUP BY ALL),
+    CM AS (SELECT file_id, line_no, pos, {_redacted(_strip(f"regexp_replace(command, '{_W}+', ' ', 'g')"))} AS c FROM TU WHERE tool IN ('Bash', 'Shell') AND command IS NOT NULL)"""
+
 _NOTES = "NT AS (SELECT doc_id AS note_id, source AS name, project AS description, text AS body, doc_id AS mtime FROM documents)"
 
 SQL = {
@@ -282,6 +288,11 @@ SQL = {
         SELECT file_id, value, line_no FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC, value DESC) AS rn FROM LA) WHERE rn <= 40""",
     "delta_messages": f"""WITH {_R}, {_DELTA}, SD AS (SELECT file_id, line_no, text, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC) AS rn FROM DE WHERE type = 'user' AND length(text) >= 2),
         SU AS (SELECT *, sum(length(text)) OVER (PARTITION BY file_id ORDER BY line_no DESC ROWS UNBOUNDED PRECEDING) AS used FROM SD WHERE rn <= 25) SELECT file_id, line_no, text FROM SU WHERE used <= 600 OR rn <= 3""",
+    "delta_messages_full": f"""WITH {_R}, {_DELTA}, SD AS (SELECT file_id, line_no, text, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC) AS rn FROM DE WHERE type = 'user' AND length(text) >= 2),
+        SU AS (SELECT *, sum(length(text)) OVER (PARTITION BY file_id ORDER BY line_no DESC ROWS UNBOUNDED PRECEDING) AS used FROM SD WHERE rn <= 25) SELECT file_id, line_no, text FROM SU WHERE used <= {DELTA_MAX} OR rn <= 3""",
+    "delta_edits": f"""WITH {_R}, {_DELTA}, {_USES} SELECT file_id, tool, value, line_no, pos FROM (SELECT file_id, tool, value, p.line_no AS line_no, p.pos AS pos, row_number() OVER (PARTITION BY file_id ORDER BY p.line_no DESC, p.pos DESC) AS rn FROM ED) WHERE rn <= 40""",
+    "delta_commands": f"""WITH {_R}, {_DELTA}, {_USES}, LC AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC, pos DESC) AS rn FROM CM)
+        SELECT file_id, line_no, pos, CASE WHEN length(c) <= 300 THEN c ELSE substr(c, 1, 300) || ' ...[+' || (length(c) - 300) || ' chars]' END AS value FROM LC WHERE rn <= 30""",
     "note_selection": """WITH n AS (SELECT session_id, CAST(doc_id AS VARCHAR) AS path, doc_id AS mtime, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 1 WHEN doc_id % 2 = 0 THEN NULL ELSE 2 END AS priority FROM documents WHERE session_id IS NOT NULL)
         SELECT session_id, path, priority FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY priority, mtime DESC, path) AS rn FROM n WHERE priority IS NOT NULL) WHERE rn = 1""",
 }
