@@ -243,3 +243,15 @@ def test_delta_queries_are_whole(spark, tmp_path):
     assert q["delta_messages_full"](spark, str(tmp_path)).count() == 5
     assert {r.value for r in q["delta_edits"](spark, str(tmp_path)).collect()} == {f"/e{k}" for k in range(35)}
     assert sorted(r.value for r in q["delta_commands"](spark, str(tmp_path)).collect()) == sorted(f"run {k}" for k in range(5, 35))
+
+
+def test_embedding_worklist_has_notes(spark):
+    sessions = spark.createDataFrame([("a", "")], "session_id string, entrypoint string")
+    rows = turns(spark).withColumn("text", F.rpad("text", 50, "-"))
+    notes = spark.createDataFrame([(7, "n", "d", "b" * 3000), (8, None, "d", "b"), (9, "n", "d", "b")], "note_id bigint, name string, description string, body string")
+    have = lambda k, key: spark.createDataFrame([(k,)], f"{key} bigint")
+    got = vectors.worklist(rows, sessions, have(1, "turn_id"), notes, have(9, "note_id"))
+    texts = {(r.kind, r.id): r.text for r in got.collect()}
+    assert set(texts) == {("m", 7), ("m", 8), ("t", 2)} and texts["m", 8] == "\nd\nb" and len(texts["m", 7]) == 2000
+    capped = vectors.worklist(rows, sessions, have(1, "turn_id"), notes, have(9, "note_id"), cap=2)
+    assert {r.kind for r in capped.collect()} == {"m"}

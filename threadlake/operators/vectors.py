@@ -51,6 +51,21 @@ def pending(turns: DataFrame, sessions: DataFrame, vectors: DataFrame, least_cha
     return rows if cap is None else rows.orderBy(F.desc_nulls_last("ts"), F.desc("turn_id")).limit(cap)
 
 
+def pending_notes(notes: DataFrame, vectors: DataFrame, most_chars: int = 2000) -> DataFrame:
+    """(note_id, text): name, description and body of the notes that still lack a vector."""
+    todo = notes.join(vectors.select("note_id"), "note_id", "left_anti")
+    text = F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in ("name", "description", "body")])
+    return todo.select("note_id", F.substring(text, 1, most_chars).alias("text"))
+
+
+def worklist(turns: DataFrame, sessions: DataFrame, turn_vectors: DataFrame, notes: DataFrame, note_vectors: DataFrame, cap: int | None = None) -> DataFrame:
+    """(kind, id, ts, text): notes (m) and turns (t) that still lack a vector; a cap takes notes
+    first, then the newest turns."""
+    rows = pending_notes(notes, note_vectors).select(F.lit("m").alias("kind"), F.col("note_id").alias("id"), F.lit(None).cast("string").alias("ts"), "text")
+    rows = rows.unionByName(pending(turns, sessions, turn_vectors).select(F.lit("t").alias("kind"), F.col("turn_id").alias("id"), "ts", "text"))
+    return rows if cap is None else rows.orderBy("kind", F.desc_nulls_last("ts"), F.desc("id")).limit(cap)
+
+
 def embed(rows: DataFrame, key: str, embedder: Callable[[list[str]], list[list[float]]], batch: int = 32) -> DataFrame:
     """(key, vec): texts sent to a user's embedder in batches, in their order."""
 

@@ -117,6 +117,11 @@ def embed_pending(spark, d):
     return vectors.pending(turns(spark, d), sessions(spark, d), vecs(spark, d, "turn_id"))
 
 
+def embed_worklist(spark, d):
+    """embed_pending and the notes without a vector."""
+    return vectors.worklist(turns(spark, d), sessions(spark, d), vecs(spark, d, "turn_id"), notes(spark, d), vecs(spark, d, "note_id"))
+
+
 # ---- predicates
 
 
@@ -453,7 +458,7 @@ def note_selection(spark, d):
 
 
 _ALL = [
-    search_ranked, search_top_turns, bm25_scores, fallback_strategy, short_term_search, snippet, memory_search, vector_dot, semantic_sessions, semantic_memories, embed_pending,
+    search_ranked, search_top_turns, bm25_scores, fallback_strategy, short_term_search, snippet, memory_search, vector_dot, semantic_sessions, semantic_memories, embed_pending, embed_worklist,
     role_filter, visibility_filter, project_like, since_filter, sessions_grep, semi_project, anti_headless, orphans, canary_counts,
     session_file_fold, sessions_rollup, touches_agg, tool_uses_explode, top_touches, drift_types, drift_blocks, stats_totals, busiest_projects, duplicate_turns, verify_counts, ffill_session, last_usage,
     sessions_list, show_ordered, show_context, show_last, show_head,

@@ -203,6 +203,9 @@ SQL = {
     "semantic_memories": f"SELECT doc_id AS note_id, round({_DOT}, 6) AS sim, source AS name FROM embeddings e JOIN documents ON doc_id = e.vec_id, {_Q} WHERE round({_DOT}, 6) >= 0.05 ORDER BY sim DESC, note_id LIMIT 3",
     "embed_pending": f"""WITH {_T}, {_S} SELECT turn_id, ts, substr(text, 1, 2000) AS text FROM T WHERE NOT coalesce(is_sidechain, false) AND length(text) >= 40
         AND session_id IN (SELECT session_id FROM S WHERE coalesce(entrypoint, '') <> 'sdk-cli') AND turn_id NOT IN (SELECT vec_id FROM embeddings)""",
+    "embed_worklist": f"""WITH {_T}, {_S} SELECT 't' AS kind, turn_id AS id, ts, substr(text, 1, 2000) AS text FROM T WHERE NOT coalesce(is_sidechain, false) AND length(text) >= 40
+        AND session_id IN (SELECT session_id FROM S WHERE coalesce(entrypoint, '') <> 'sdk-cli') AND turn_id NOT IN (SELECT vec_id FROM embeddings)
+        UNION ALL SELECT 'm', doc_id, NULL, substr(coalesce(source, '') || chr(10) || coalesce(project, '') || chr(10) || coalesce(text, ''), 1, 2000) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)""",
     "role_filter": f"WITH {_T} SELECT turn_id, role FROM T WHERE role IN ('user', 'assistant')",
     "visibility_filter": f"WITH {_T}, {_S}, {_H} SELECT turn_id FROM T WHERE NOT coalesce(is_sidechain, false) AND session_id NOT IN (SELECT session_id FROM H)",
     "project_like": f"WITH {_S} SELECT session_id, project FROM S WHERE contains({_lower('project')}, 'kiosk')",
