@@ -255,3 +255,18 @@ def test_embedding_worklist_has_notes(spark):
     assert set(texts) == {("m", 7), ("m", 8), ("t", 2)} and texts["m", 8] == "\nd\nb" and len(texts["m", 7]) == 2000
     capped = vectors.worklist(rows, sessions, have(1, "turn_id"), notes, have(9, "note_id"), cap=2)
     assert {r.kind for r in capped.collect()} == {"m"}
+
+
+def test_leak_audit_reads_touches_and_heads_of_notes(spark, tmp_path):
+    block = {"type": "tool_use", "name": "Shell", "input": {"command": "cat -----BEGIN PRIVATE KEY----- abc", "file_path": "/a"}}
+    raw = json.dumps({"type": "assistant", "sessionId": "s", "message": {"role": "assistant", "content": [block]}})
+    tables = {
+        "transcript_lines": ([(1, 1, 1, True, raw)], "line_id bigint, file_id bigint, line_no bigint, has_newline boolean, raw string"),
+        "documents": ([(1, "plain", "n", "password=hunter22"), (2, "plain", "ghp_" + "a" * 30, None), (3, "plain", "n", None)], "doc_id bigint, text string, source string, project string"),
+        "turns": ([(1, "s", "plain")], "turn_id bigint, session_id string, text string"),
+        "sessions": ([("plain",)], "title string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.source: r.n for r in log_queries.QUERIES["leak_audit_full"](spark, str(tmp_path)).collect()}
+    assert got == {"turns": 1, "cleaned": 0, "notes": 2, "titles": 0, "touches": 1}

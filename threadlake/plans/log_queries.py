@@ -305,6 +305,13 @@ def leak_audit(spark, d):
     return folds.leak_audit({"turns": _secret(spark, d), "cleaned": redact_text(spark, d), "notes": table(spark, d, "documents"), "titles": table(spark, d, "sessions").select(F.col("title").alias("text"))})
 
 
+def leak_audit_full(spark, d):
+    """leak_audit with touches, and notes as name, description and body."""
+    whole = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("name", "description", "body")])
+    sources = {"turns": _secret(spark, d), "cleaned": redact_text(spark, d), "notes": notes(spark, d).select(whole.alias("text")), "titles": table(spark, d, "sessions").select(F.col("title").alias("text"))}
+    return folds.leak_audit(sources | {"touches": _touched(spark, d).select(F.col("value").alias("text"))})
+
+
 def marker_hits(spark, d):
     return _secret(spark, d).select("turn_id", X.marker_hits(F.col("text")).alias("markers"))
 
@@ -462,7 +469,7 @@ _ALL = [
     role_filter, visibility_filter, project_like, since_filter, sessions_grep, semi_project, anti_headless, orphans, canary_counts,
     session_file_fold, sessions_rollup, touches_agg, tool_uses_explode, top_touches, drift_types, drift_blocks, stats_totals, busiest_projects, duplicate_turns, verify_counts, ffill_session, last_usage,
     sessions_list, show_ordered, show_context, show_last, show_head,
-    strip_tag_pairs, collapse_ws, clean_text, redact_text, leak_audit, marker_hits, slugify, project_for, local_date, age_bucket, lint_lines, memory_parse, ingest_roundtrip,
+    strip_tag_pairs, collapse_ws, clean_text, redact_text, leak_audit, leak_audit_full, marker_hits, slugify, project_for, local_date, age_bucket, lint_lines, memory_parse, ingest_roundtrip,
     manifest_plan, snapshot_diff, forget_antijoin, forget_dry_run, longest_prefix_project,
     tier_alarm, tier_alarm_stream, thresholds, cycle_start, delta_counts, delta_files, delta_messages, delta_messages_full, delta_edits, delta_commands, note_selection,
 ]

@@ -254,6 +254,9 @@ SQL = {
     "redact_text": f"WITH {_SECRET} SELECT turn_id, {_redacted('text')} AS text FROM SE",
     "leak_audit": f"""WITH {_SECRET} SELECT 'turns' AS source, count(*) FILTER ({_LEAKY('text')}) AS n FROM SE UNION ALL SELECT 'cleaned', 0
         UNION ALL SELECT 'notes', count(*) FILTER ({_LEAKY('text')}) FROM documents UNION ALL SELECT 'titles', count(*) FILTER ({_LEAKY('title')}) FROM sessions""",
+    "leak_audit_full": f"""WITH {_SECRET}, {_R}, {_used('I')}, AU AS (SELECT 'turns' AS source, text FROM SE UNION ALL SELECT 'notes', concat_ws(' ', coalesce(source, ''), coalesce(project, ''), coalesce(text, '')) FROM documents
+        UNION ALL SELECT 'titles', title FROM sessions UNION ALL SELECT 'touches', value FROM UV)
+        SELECT source, count(*) FILTER ({_LEAKY('text')} OR coalesce(regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), false)) AS n FROM AU GROUP BY source UNION ALL SELECT 'cleaned', 0""",
     "marker_hits": f"WITH {_SECRET} SELECT turn_id, {' + '.join(f'''CAST(regexp_matches(text, '{m}') AS INTEGER)''' for m in _MARKERS)} AS markers FROM SE",
     "slugify": f"WITH {_S} SELECT session_id, regexp_replace(cwd, '[^A-Za-z0-9]', '-', 'g') AS slug FROM S",
     "project_for": f"""WITH {_S} SELECT session_id, CASE WHEN coalesce(cwd, '') = '' THEN regexp_replace(string_split(jsonl_path, '/')[-2], '^-+', '') WHEN regexp_matches(cwd, '^/(private/)?tmp/[a-z]+-[0-9]+/[^/]+/') THEN regexp_replace(regexp_extract(cwd, '^/(?:private/)?tmp/[a-z]+-[0-9]+/([^/]+)/', 1), '^-+', '')
