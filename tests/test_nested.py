@@ -91,3 +91,39 @@ def test_tables(spark):
     assert [(r.line_id, r.role, r.content_kind, r.n_content, r.input_tokens) for r in nested.messages(lines, types).collect()] == [(1, "user", "array", 4, 5)]
     assert nested.nodes(lines, types).count() == 6
     assert nested.nodes(lines.limit(0), types).count() == 0
+
+
+def test_no_member_is_lost(spark):
+    use = {"type": "tool_use", "id": "t1", "name": "Look", "input": {"a": [1, {"b": "}"}], "c": "\"é"}, "cache_control": None}
+    result = {"type": "tool_result", "tool_use_id": "t1", "is_error": True, "content": [{"type": "image", "source": {"data": "x,y"}}, {"type": "text", "text": "in", "citations": []}]}
+    thinking = {"type": "thinking", "thinking": "hm", "signature": "sig"}
+    odd = {"type": 5, "id": 7, "content": {"k": 1}, "is_error": "no"}
+    usage = {"input_tokens": 5.0, "output_tokens": 12, "cache_read_input_tokens": 0.5, "server_tool_use": {"web": [2]}, "tier": "x", "iterations": [{"type": "message", "input_tokens": 3, "more": {"x": 1}}]}
+    raw = json.dumps({"type": "user", "message": {"id": "m1", "role": "assistant", "model": "z", "content": [use, result, thinking, odd, "s"], "usage": usage}}, ensure_ascii=False)
+    raw = raw.replace('"output_tokens": 12', '"output_tokens" : 1.2E1 ')
+    rows = [(1, True, raw, "p", 1), (2, True, '{"message":{"content":[{"input":{"a":"', "p", 1), (3, True, '{"type":"user","message":{}}', "p", 1)]
+    lines, types = spark.createDataFrame(rows, LINES), spark.createDataFrame([("user",)], "type_name string")
+    got = {r.node_path: r for r in nested.content(lines, types).collect()}
+    rest = {p: r.rest and json.loads(r.rest) for p, r in got.items()}
+    assert rest == {"0": {"input": use["input"], "cache_control": None}, "1": None, "1.0": {"source": {"data": "x,y"}}, "1.1": {"citations": []}, "2": {"signature": "sig"}, "3": odd, "4": None}
+    assert (got["0"].id, got["0"].name, got["1"].tool_use_id, got["1"].is_error, got["2"].thinking) == ("t1", "Look", "t1", True, "hm")
+    assert got["3"].id is None and got["3"].is_error is None and got["0"].is_error is None
+    m = {r.line_id: r for r in nested.messages(lines, types).collect()}
+    assert (m[1].id, m[1].input_tokens, m[1].output_tokens, m[1].cache_read_input_tokens) == ("m1", 5, 12, None)
+    assert json.loads(m[1].server_tool_use) == {"web": [2]} and json.loads(m[1].usage_rest) == {"cache_read_input_tokens": 0.5, "tier": "x"} and json.loads(m[1].rest) == {"model": "z"}
+    assert m[3].id is None and m[3].rest is None
+    assert [json.loads(r.rest) for r in nested.usage_iterations(lines, types).collect()] == [{"more": {"x": 1}}]
+
+
+@given(st.lists(st.text(alphabet='{}[]",:\\a1 ', max_size=30) | values.map(json.dumps), min_size=1, max_size=5), records)
+@settings(max_examples=150, deadline=None)
+def test_rest_next_to_broken_rows(broken, record):
+    def run(raws):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(raws)), pa.int64()), pa.array(raws, pa.string())], names=["k", "t"])
+        tables = [nested._content(iter([batch])), nested._usage(iter([batch])), nested._message_rows(iter([batch]))]
+        return [[tuple(r.values())[1:] for b in t for r in b.to_pylist() if r["line_id"] == len(raws) - 1] for t in tables]
+
+    raw = json.dumps(record)
+    assert run([*broken, raw]) == run([raw])
+    for table in run([raw]):
+        assert all(isinstance(json.loads(r[-1]), dict) for r in table if r[-1] is not None)

@@ -145,6 +145,42 @@ class Scan:
         real = self.data[value] != ord("]")
         return parent[real], pos[real], value[real]
 
+    def rest(self, objects: np.ndarray, carried: dict[str, np.ndarray]) -> pa.Array:
+        """The objects as JSON texts without the members that are carried elsewhere (by name, for
+        which objects); null where no member is left. The members are spans of the source."""
+        import pyarrow.compute as pc  # noqa: PLC0415
+
+        if not len(objects):
+            return pa.nulls(0, pa.large_string())
+        inverse = np.full(len(self.at) + 1, -1)
+        inverse[objects] = np.arange(len(objects))
+        owner = inverse[self.holder[self.colons]]
+        keep = owner >= 0
+        for name, mask in carried.items():
+            places = np.searchsorted(self.colons, self._colons_of(name))
+            places = places[owner[places] >= 0]
+            keep[places[mask[owner[places]]]] = False
+        k = np.flatnonzero(keep)
+        k = k[np.argsort(owner[k], kind="stable")]
+        ends = np.flatnonzero(((self.kind == COMMA) | (self.kind == CLOSE_OBJECT) | (self.kind == CLOSE_LIST)) & (self.holder >= 0))
+        ends = ends[inverse[self.holder[ends]] >= 0]
+        size = len(self.at) + 1
+        key = np.sort(inverse[self.holder[ends]] * size + ends)
+        begin, after = self.key_from[k] - 1, np.searchsorted(key, owner[k] * size + self.colons[k])
+        found = key[np.minimum(after, len(key) - 1)] if len(key) else np.full(len(k), -1)
+        end = np.where((after < len(key)) & (found // size == owner[k]), self.at[found % size if len(key) else np.zeros(len(k), np.int64)], begin)
+        n = np.bincount(owner[k], minlength=len(objects))
+        if not len(k):
+            return pa.nulls(len(objects), pa.large_string())
+        fence = np.concatenate([[0], np.cumsum(n)])
+        head, tail = np.full(len(k), ","), np.full(len(k), "", "U1")
+        head[fence[:-1][n > 0]] = "{"
+        tail[fence[1:][n > 0] - 1] = "}"
+        parts = pc.binary_join_element_wise(pa.array(head, pa.large_string()), self.spans(begin, end), pa.array(tail, pa.large_string()), pa.scalar("", pa.large_string()))
+        off = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + len(k) + 1]
+        text = pa.Array.from_buffers(pa.large_string(), len(objects), [None, pa.py_buffer(np.ascontiguousarray(off[fence])), parts.buffers()[2]])
+        return pc.if_else(pa.array(n > 0), text, None)
+
     def container(self, value: np.ndarray) -> np.ndarray:
         """Openers at the byte positions (which must hold one); -1 where there is none."""
         k = np.searchsorted(self.at, value)
@@ -188,3 +224,22 @@ class Scan:
         import pyarrow.compute as pc  # noqa: PLC0415
 
         return pc.utf8_trim(self.spans(value, self.at[k] if len(self.at) else value), " \t\n\r")
+
+    def values(self, value: np.ndarray) -> pa.Array:
+        """The JSON texts of the values, of any kind, that begin at the byte positions."""
+        out = self.scalars(value)
+        at = np.flatnonzero(np.isin(self.byte(value), (34, 91, 123)))
+        if not len(at):
+            return out
+        quoted = self.byte(value[at]) == 34
+        ends = np.zeros(len(at), np.int64)
+        ends[quoted] = self.quotes[np.minimum(np.searchsorted(self.quotes, value[at][quoted]) + 1, len(self.quotes) - 1)]
+        if not quoted.all():
+            close = self.close[self.container(value[at][~quoted])]
+            ends[~quoted] = np.where(close >= 0, self.at[close], value[at][~quoted] - 1)  # an unclosed one is no text
+        where = np.full(len(value), -1)
+        where[at] = np.arange(len(at))
+        spans = self.spans(value[at], ends + 1)
+        import pyarrow.compute as pc  # noqa: PLC0415
+
+        return pc.coalesce(spans.take(pa.array(where, mask=where < 0)), out)

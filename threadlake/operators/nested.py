@@ -11,13 +11,16 @@ joined by dots, its parent's path is the same without the last one.
 
 Defined cases. A string in place of a list is one element at position 0; null elements, numbers,
 booleans and lists inside lists are no nodes but keep their position; an object in place of a list
-is no node. Of repeated keys the last counts. Null or empty texts give no rows, and neither does
+is no node. Of repeated keys the last counts. What no column and no child table carries stays in
+``rest``, a JSON object of the source's own spans (of message.usage: ``usage_rest``): tool input,
+signatures, sources, citations, and members of another type than their column's. Null or empty texts give no rows, and neither does
 an empty table. Lines are told apart by line_id; a repeated line_id gives its rows once per line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +38,14 @@ QUOTE, BRACE, BRACKET = ord('"'), ord("{"), ord("[")
 
 NODES = pa.schema([("line_id", pa.int64()), ("node_kind", pa.string()), ("node_path", pa.string())])
 NODES_DDL = "line_id bigint, node_kind string, node_path string"
-CONTENT = pa.schema([("line_id", pa.int64()), ("node_path", pa.string()), ("parent_path", pa.string()), ("pos", pa.int64()), ("kind", pa.string()), ("block_type", pa.string()), ("text", pa.string())])
-CONTENT_DDL = "line_id bigint, node_path string, parent_path string, pos bigint, kind string, block_type string, text string"
+LABELS = ["id", "name", "tool_use_id", "thinking"]
+CONTENT = pa.schema([("line_id", pa.int64()), ("node_path", pa.string()), ("parent_path", pa.string()), ("pos", pa.int64()), ("kind", pa.string()), ("block_type", pa.string()), ("text", pa.string()), *[(f, pa.string()) for f in LABELS], ("is_error", pa.bool_()), ("rest", pa.string())])
+CONTENT_DDL = "line_id bigint, node_path string, parent_path string, pos bigint, kind string, block_type string, text string, " + ", ".join(f"{f} string" for f in LABELS) + ", is_error boolean, rest string"
 USAGE_FIELDS = ["input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens"]
-USAGE = pa.schema([("line_id", pa.int64()), ("node_path", pa.string()), ("iteration_type", pa.string()), *[(f, pa.int64()) for f in USAGE_FIELDS]])
-USAGE_DDL = "line_id bigint, node_path string, iteration_type string, " + ", ".join(f"{f} bigint" for f in USAGE_FIELDS)
-MESSAGES = pa.schema([("line_id", pa.int64()), ("role", pa.string()), ("content_kind", pa.string()), ("n_content", pa.int64()), *[(f, pa.int64()) for f in USAGE_FIELDS]])
-MESSAGES_DDL = "line_id bigint, role string, content_kind string, n_content bigint, " + ", ".join(f"{f} bigint" for f in USAGE_FIELDS)
+USAGE = pa.schema([("line_id", pa.int64()), ("node_path", pa.string()), ("iteration_type", pa.string()), *[(f, pa.int64()) for f in USAGE_FIELDS], ("rest", pa.string())])
+USAGE_DDL = "line_id bigint, node_path string, iteration_type string, " + ", ".join(f"{f} bigint" for f in USAGE_FIELDS) + ", rest string"
+MESSAGES = pa.schema([("line_id", pa.int64()), ("role", pa.string()), ("content_kind", pa.string()), ("n_content", pa.int64()), *[(f, pa.int64()) for f in USAGE_FIELDS], ("id", pa.string()), ("server_tool_use", pa.string()), ("usage_rest", pa.string()), ("rest", pa.string())])
+MESSAGES_DDL = "line_id bigint, role string, content_kind string, n_content bigint, " + ", ".join(f"{f} bigint" for f in USAGE_FIELDS) + ", id string, server_tool_use string, usage_rest string, rest string"
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
@@ -122,15 +126,54 @@ def _text_member(scan: Scan, objects: np.ndarray, name: str, size: int, at: np.n
     return scan.strings(value[text]).take(pa.array(where, mask=where < 0))
 
 
+def _whole(text: str) -> int | None:
+    """A number written with fraction or exponent, if it is an integer of 18 digits at most."""
+    x = Decimal(text)
+    return int(x) if not x or (x.adjusted() < 18 and x == x.to_integral_value()) else None
+
+
 def _count_member(scan: Scan, objects: np.ndarray, name: str) -> pa.Array:
     """An integer member of the objects; null where it is missing or no integer of 18 digits."""
     parent, value = scan.members(objects, name)
     number = np.isin(scan.byte(value), np.frombuffer(b"-0123456789", np.uint8))
     text = scan.scalars(value[number])
-    text = pc.if_else(pc.match_substring_regex(text, r"^-?[0-9]{1,18}$"), text, None)
+    count = pc.if_else(pc.match_substring_regex(text, r"^-?[0-9]{1,18}$"), text, None).cast(pa.int64())
+    odd = pc.indices_nonzero(pc.match_substring_regex(text, r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]{1,9})?$")).to_numpy()
+    odd = odd[count.take(pa.array(odd)).is_null().to_numpy(zero_copy_only=False)]
+    if len(odd):
+        out = count.to_pylist()
+        for k in odd:
+            out[k] = _whole(text[k].as_py())
+        count = pa.array(out, pa.int64())
     where = np.full(len(objects), -1)
     where[parent[number]] = np.arange(number.sum())
-    return text.cast(pa.int64()).take(pa.array(where, mask=where < 0))
+    return count.take(pa.array(where, mask=where < 0))
+
+
+def _flag_member(scan: Scan, objects: np.ndarray, name: str, size: int, at: np.ndarray) -> pa.Array:
+    """A boolean member of the objects as a column of ``size`` rows, the objects standing at ``at``."""
+    parent, value = scan.members(objects, name)
+    first = np.zeros(size, np.uint8)
+    first[at[parent]] = scan.byte(value)
+    return pa.array(first == ord("t"), mask=~np.isin(first, (ord("t"), ord("f"))))
+
+
+def _has(scan: Scan, objects: np.ndarray, name: str, *kinds: int) -> np.ndarray:
+    """Of each object, whether the member is of one of the kinds (first bytes of its value)."""
+    parent, value = scan.members(objects, name)
+    out = np.zeros(len(objects), bool)
+    out[parent] = np.isin(scan.byte(value), kinds)
+    return out
+
+
+def _filled(column: pa.Array) -> np.ndarray:
+    return column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _placed(column: pa.Array, size: int, at: np.ndarray) -> pa.Array:
+    where = np.full(size, -1)
+    where[at] = np.arange(len(at))
+    return column.take(pa.array(where, mask=where < 0))
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +198,11 @@ def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = scan.strings(element[quoted]).take(pa.array(plain, mask=plain < 0))
             text = pc.coalesce(own, _text_member(scan, opener, "text", len(at), objects))
             kind = pc.if_else(pa.array(plain >= 0), "string", "object")
-            yield _batch(CONTENT, [keys[at], paths, pa.nulls(len(at), pa.string()) if above is None else above, pos, kind, _text_member(scan, opener, "type", len(at), objects), text])
+            columns = {name: _text_member(scan, opener, name, len(at), objects) for name in ("type", *LABELS)}
+            columns["is_error"] = _flag_member(scan, opener, "is_error", len(at), objects)
+            carried = {name: _filled(c)[objects] for name, c in (columns | {"text": text}).items()} | {"content": _has(scan, opener, "content", QUOTE, BRACKET)}
+            rest = _placed(scan.rest(opener, carried), len(at), objects)
+            yield _batch(CONTENT, [keys[at], paths, pa.nulls(len(at), pa.string()) if above is None else above, pos, kind, columns["type"], text, *[columns[f] for f in LABELS], columns["is_error"], rest])
 
 
 def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +210,8 @@ def _usage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scan(texts)
         at, pos, objects = _iterations(scan, *_messages(scan))
         every = np.arange(len(at))
-        yield _batch(USAGE, [keys[at], _paths(None, pos), _text_member(scan, objects, "type", len(at), every), *[_count_member(scan, objects, f) for f in USAGE_FIELDS]])
+        columns = {"type": _text_member(scan, objects, "type", len(at), every)} | {f: _count_member(scan, objects, f) for f in USAGE_FIELDS}
+        yield _batch(USAGE, [keys[at], _paths(None, pos), *columns.values(), scan.rest(objects, {name: _filled(c) for name, c in columns.items()})])
 
 
 def _message_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +231,18 @@ def _message_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         where = np.full(len(row), -1)
         where[holder] = np.arange(len(holder))
         take = pa.array(where, mask=where < 0)
-        yield _batch(MESSAGES, [keys[row], _text_member(scan, messages, "role", len(row), every), kind, n, *[_count_member(scan, usage, f).take(take) for f in USAGE_FIELDS]])
+        role, own = (_text_member(scan, messages, name, len(row), every) for name in ("role", "id"))
+        counts = {f: _count_member(scan, usage, f) for f in USAGE_FIELDS}
+        tools = scan.members(usage, "server_tool_use")
+        served = _placed(scan.values(tools[1]), len(usage), tools[0])
+        carried = {name: _filled(c) for name, c in (counts | {"server_tool_use": served}).items()} | {"iterations": _has(scan, usage, "iterations", BRACKET)}
+        usage_rest = scan.rest(usage, carried)
+        rest = scan.rest(messages, {"role": _filled(role), "id": _filled(own), "content": (first == QUOTE) | (first == BRACKET), "usage": where >= 0})
+        yield _batch(MESSAGES, [keys[row], role, kind, n, *[c.take(take) for c in counts.values()], own, served.take(take), usage_rest.take(take), rest])
 
 
 def _loaded(flat: DataFrame, bad: DataFrame) -> DataFrame:
-    """The flat rows of loaded lines only. Rows are narrow here; the raw text is never shuffled."""
+    """The flat rows of loaded lines only. Their texts and spans may be shuffled, raw lines never."""
     return flat.join(bad.select(F.col("row_key").alias("line_id")), "line_id", "left_anti")
 
 
