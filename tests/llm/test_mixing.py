@@ -61,3 +61,18 @@ def test_empty(spark):
     assert mixing.select(table.limit(0), targets).count() == 0
     assert mixing.select(table, targets.limit(0)).count() == 0
     assert mixing.shares(mixing.select(table.limit(0), targets), targets).count() == 1
+
+
+def test_sources_that_no_mix_names_are_not_taken(spark):
+    """A long tail of sources, each below one document in a thousand, is known and never taken."""
+    rows = docs(spark, 1500) + [(100_000 + k, "alpha beta same gamma delta", f"tail_{k}", "", "", "") for k in range(1200)]
+    targets = spark.createDataFrame([("m", "a_b", 1.0, 1, ""), ("m", "c", 1.0, 1, "")], TARGETS)
+    taken = mixing.select(spark.createDataFrame(rows, DOCS), targets).collect()
+    truth = {r[0]: r[2].strip().lower().replace("-", "_").replace(" ", "_") for r in rows}
+    assert taken and all(r.source == truth[r.doc_id] for r in taken)
+
+
+def test_reader():
+    read = mixing.reader(["user_turn", "file_1", "c"], ["user_turns"])
+    assert [read(s) for s in ("user_turn", "usre_turn", "user_tirn", "user_trn", None, "")] == ["user_turn", None, None, None, None, None]
+    assert [read(s) for s in ("user_turns", "file_2", "file_11", "d", "memory")] == [mixing.OTHER] * 5

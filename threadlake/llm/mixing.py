@@ -1,8 +1,10 @@
 """Problem 7: sources mixed to target weights.
 
 Soft membership: every document has a posterior over sources. A document whose source can be read
-(ignoring case, blanks and the kind of separator) has all its weight there; for the others a
-classifier, fitted on a bounded sample of the labelled ones, predicts it. Nonnegative rates, the
+(ignoring case, blanks and the kind of separator) has all its weight there, all readable sources
+that no mix names being one class whose rate is zero. For documents without a source, and rare
+names one edit away from a target's, a classifier, fitted on a bounded sample of the labelled
+ones, predicts it. Nonnegative rates, the
 expected number of times a document is taken, are fitted by distributed projected-gradient least
 squares: a pass over the narrow table (tokens, posterior, cap) adds up the expected tokens of each
 source, the residual against the targets is the gradient's only global part, and every document
@@ -38,6 +40,10 @@ SAMPLE_CHARS = 200_000
 #: Most rows of the target table; the driver reads it.
 MAX_TARGETS = 10_000
 DIMENSIONS = 1 << 12
+#: The class of the sources that no mix names (no source key has capitals), and the
+#: length from which a name can be a slip of another.
+OTHER = "OTHER"
+LEAST_SLIP = 4
 #: Passes of the fit, at most, and the relative residual at which it ends.
 PASSES = 40
 CLOSE = 1e-6
@@ -95,7 +101,52 @@ def posterior(text: str, weights: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def _narrow(path: str, names: list[str], weights: np.ndarray):
+def _cuts(name: str) -> set[str]:
+    """The name and what is left of it without one character."""
+    return {name} | {name[:k] + name[k + 1 :] for k in range(len(name))}
+
+
+def reader(names: list[str], frequent: list[str] | None):
+    """A function of a source key: its class, or None where it must be guessed. Without frequent
+    the names are all classes; else those not named are OTHER, unless they are rare and look like
+    a slip in a name (a letter added, left out, replaced or swapped; digits never differ)."""
+    place = set(names)
+    own = set(frequent or [])
+    near: dict[str, set[str]] = {}
+    for name in names if frequent is not None else []:
+        for cut in _cuts(name) if len(name) >= LEAST_SLIP else ():
+            near.setdefault(cut, set()).add("".join(c for c in name if c.isdigit()))
+    cache: dict[str, bool] = {}
+
+    def slip(source: str) -> bool:
+        if source not in cache:
+            if len(cache) > 100_000:
+                cache.clear()
+            digits = "".join(c for c in source if c.isdigit())
+            cache[source] = len(source) >= LEAST_SLIP and any(digits in near.get(cut, ()) for cut in _cuts(source))
+        return cache[source]
+
+    def read(source: str | None) -> str | None:
+        if source in place:
+            return source
+        if frequent is None or not source:
+            return None
+        return OTHER if source in own or not slip(source) else None
+
+    return read
+
+
+def _slips(read):
+    """Arrow batches of source keys to those that must be guessed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([s for s in b.column(0).to_pylist() if read(s) is None], pa.string())], names=["s"])
+
+    return run
+
+
+def _narrow(path: str, names: list[str], weights: np.ndarray, read):
     """Arrow batches of (item, doc_id, text, source) to tokens and posteriors."""
     place = {s: k for k, s in enumerate(names)}
     count = counter(path)
@@ -106,10 +157,11 @@ def _narrow(path: str, names: list[str], weights: np.ndarray):
             sized = next(count(iter([b])))
             known, post = [], []
             for text, source in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                known.append(source in place)
-                if source in place:
+                label = read(source)
+                known.append(label is not None)
+                if label is not None:
                     row = [0.0] * len(names)
-                    row[place[source]] = 1.0
+                    row[place[label]] = 1.0
                 else:
                     row = posterior(text or "", weights).tolist()
                 post.append(row)
@@ -119,22 +171,29 @@ def _narrow(path: str, names: list[str], weights: np.ndarray):
 
 
 def soft_members(documents: DataFrame, tokenizer: str = TOKENIZER, sample_rows: int = SAMPLE_ROWS, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """The narrow table (item, doc_id, n_tokens, known, post) and the source names of post. A
-    source is known if at least one document in a thousand carries it, or if it is named and
-    any document carries it."""
+    """The narrow table (item, doc_id, n_tokens, known, post) and the source names of post. With
+    names the classes are those of them that a document carries, and OTHER for every other source
+    that can be read; without, the sources that at least one document in a thousand carries."""
     key = source_key(F.col("source"))
     counts = documents.filter(F.col("source").isNotNull()).groupBy(key.alias("s")).count()
     total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     found = [r.s for r in counts.filter(F.col("count") * 1000 >= total).collect()]  # at most 1000
-    named = [r.s for r in counts.filter(F.col("s").isin(names)).collect()] if names else []  # at most MAX_TARGETS
-    known = sorted(set(found) | set(named))
+    if names is None:
+        known = sorted(found)
+        read = reader(known, None)
+    else:
+        named = sorted(r.s for r in counts.filter(F.col("s").isin(names)).collect())  # at most MAX_TARGETS
+        known, read = [*named, OTHER], reader(named, found)
     place = {s: k for k, s in enumerate(known)}
-    labelled = documents.filter(key.isin(known) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    unknown = documents.filter(~F.coalesce(key.isin(known), F.lit(False))).limit(1).count()
+    bare = documents.filter(F.coalesce(key, F.lit("")) == "").limit(1).count()
+    unknown = bare or counts.select("s").mapInArrow(_slips(read), "s string").limit(1).count()
+    sure = F.col("source").isNotNull() if names is not None else key.isin(known)
+    labelled = documents.filter(sure & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", key.alias("s")).limit(sample_rows).collect() if unknown else []
-    weights = fit_classifier([r.text for r in sample], [place[r.s] for r in sample], len(known))
+    sample = [(r.text, place[label]) for r in sample if (label := read(r.s)) is not None]
+    weights = fit_classifier([t for t, _ in sample], [k for _, k in sample], len(known))
     rows = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", key.alias("source")))
-    narrow = rows.select(F.monotonically_increasing_id().alias("item"), "doc_id", "text", "source").mapInArrow(_narrow(tokenizer, known, weights), "item bigint, doc_id bigint, n_tokens bigint, known boolean, post array<double>")
+    narrow = rows.select(F.monotonically_increasing_id().alias("item"), "doc_id", "text", "source").mapInArrow(_narrow(tokenizer, known, weights, read), "item bigint, doc_id bigint, n_tokens bigint, known boolean, post array<double>")
     return materialize(narrow.filter("n_tokens > 0"), "members")[0], known
 
 
