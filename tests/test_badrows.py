@@ -87,3 +87,9 @@ def test_split_and_empty(spark, monkeypatch):
     assert [(r.line_id, list(r.reasons)) for r in rejected.collect()] == [(2, ["bad_json"])]
     assert badrows.line_failures(lines.limit(0), types(spark)).count() == 0
     assert badrows.line_failures(lines, types(spark).limit(0)).count() == 2
+
+
+def test_loaded_lines_of_every_type(spark):
+    rows = [(1, True, '{"type":"user","timestamp":"2024-01-01T00:00:00Z","message":{}}', "", ""), (2, True, '{"type":"mode"}', "", ""), (3, True, "{", "", ""), (4, False, '{"type":"mode"}', "", ""), (5, True, '{"type":"nope"}', "", "")]
+    got = badrows.load_lines(spark.createDataFrame(rows, LINES), types(spark)).collect()
+    assert sorted((r.line_id, r.type, r.timestamp, r.raw) for r in got) == [(1, "user", "2024-01-01T00:00:00Z", rows[0][2]), (2, "mode", None, rows[1][2])]

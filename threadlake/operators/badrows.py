@@ -256,3 +256,17 @@ def load_export(rows: DataFrame, types: DataFrame) -> DataFrame:
     loaded, _ = split_rows(rows, "row_id", export_failures(rows, types))
     names = ["type", "timestamp", "session_id", "kind", "value", "n"]
     return loaded.select("row_id", "batch_no", fields("raw").alias("f")).select("row_id", "batch_no", *[F.get("f", F.lit(i)).alias(x) for i, x in enumerate(names)])
+
+
+def load_lines(lines: DataFrame, types: DataFrame) -> DataFrame:
+    """The valid finished lines, of every type, with ``type`` and ``timestamp`` as columns."""
+    from pyspark.sql.functions import pandas_udf  # noqa: PLC0415
+
+    @pandas_udf("array<string>")
+    def heads(raw):
+        decoder = _decoder()
+        return raw.map(lambda text: [(read_object(text, decoder) or {}).get(k) for k in ("type", "timestamp")])
+
+    loaded, _ = split_rows(lines.filter("has_newline"), "line_id", line_failures(lines, types))
+    kept = [c for c in ("line_id", "file_id", "line_no") if c in lines.columns]
+    return loaded.select(*kept, "raw", heads("raw").alias("h")).select(*kept, F.get("h", F.lit(0)).alias("type"), F.get("h", F.lit(1)).alias("timestamp"), "raw")

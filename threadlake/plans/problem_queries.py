@@ -62,7 +62,11 @@ def p5_loaded_export(spark: SparkSession, d: str) -> DataFrame:
     return badrows.load_export(table(spark, d, "export_rows"), table(spark, d, "record_types"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_project_totals, p1_session_totals, p2_found, p4_found, p4_messages, p4_content, p4_usage, p5_found, p5_reasons, p5_loaded_export)}
+def p5_loaded_lines(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.load_lines(table(spark, d, "transcript_lines"), table(spark, d, "record_types"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_project_totals, p1_session_totals, p2_found, p4_found, p4_messages, p4_content, p4_usage, p5_found, p5_reasons, p5_loaded_export, p5_loaded_lines)}
 
 _FIELD = r"""(?:"(?:[^"]|"")*"|[^",\r\n]*)"""
 
@@ -98,6 +102,9 @@ SQL = {
                 length(regexp_replace(raw, '"(?:[^"]|"")*"', 'q', 'g')) - length(replace(regexp_replace(raw, '"(?:[^"]|"")*"', 'q', 'g'), ',', '')) + 1 AS width FROM export_rows)
         SELECT 'transcript_lines' AS origin, line_id AS row_key FROM BL UNION ALL
         SELECT 'export_rows', row_id FROM EX WHERE NOT coalesce(sound AND width = 6 AND type IN (SELECT type_name FROM record_types) AND (ts = '' OR {_instant('ts')}), false)""",
+    "p5_loaded_lines": f"""
+        WITH {_BAD_LINES} SELECT line_id, file_id, line_no, j ->> '$.type' AS type, j ->> '$.timestamp' AS timestamp, raw FROM transcript_lines JOIN (SELECT DISTINCT line_id, j FROM LN) USING (line_id)
+        WHERE has_newline AND line_id NOT IN (SELECT line_id FROM BL)""",
     "p1_found": f"""
         WITH v AS (SELECT 'sessions.project' AS field_name, project AS key_value FROM sessions
                    UNION ALL SELECT 'turns.session_id', session_id FROM turns),
