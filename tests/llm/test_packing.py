@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from threadlake.llm import packing
+from threadlake.llm import packing, tokens
 from threadlake.llm.tokens import TOKENIZER, encoding
 
 DOCS = "doc_id bigint, text string, item string, n_tokens string, grp string"
@@ -73,6 +73,25 @@ def test_groups_lose_little_and_keep_copies(spark):
     assert many <= one * 1.02 + 1
 
 
+def test_same_containers_however_the_table_is_split(spark):
+    rng = random.Random(3)
+    rows = [(k // 2, "word " * rng.randrange(1, 60), "", "", "") for k in range(800)] + [(7, "same", "", "", "")] * 40 + [(None, None, "", "", "")] * 3
+    docs, kinds = spark.createDataFrame(rows, DOCS), spark.createDataFrame([("k", 64, ""), ("m", 20, "")], KINDS)
+    one, many = (sorted(map(tuple, packing.pack(t, kinds, group_items=300).collect()), key=str) for t in (docs.coalesce(1), docs.repartition(6)))
+    assert one == many and len({r[:2] + r[3:7] for r in one}) == len(one)
+    assert [(r["items"], r.overfull, r.cut, r.torn) for r in packing.invariants(packing.pack(docs, kinds), docs).collect()] == [(843, 0, 0, 0)] * 2
+
+
+def test_many_equal_rows_are_numbered_in_blocks(spark):
+    tokens.COPY_BLOCK, held = 7, tokens.COPY_BLOCK
+    try:
+        rows = spark.createDataFrame([(1, 5)] * 50 + [(2, 6)] * 7 + [(None, 1)], "doc_id bigint, text_hash bigint")
+        got = sorted((r.doc_id or 0, r.copy_no) for r in tokens.numbered(rows).collect())
+    finally:
+        tokens.COPY_BLOCK = held
+    assert got == [(0, 0)] + [(1, k) for k in range(50)] + [(2, k) for k in range(7)]
+
+
 @pytest.mark.parametrize("part", ["docs", "kinds"])
 def test_empty(spark, part):
     docs, kinds = spark.createDataFrame([(1, "a", "", "", "")], DOCS), spark.createDataFrame([("k", 64, "")], KINDS)

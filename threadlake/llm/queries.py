@@ -34,6 +34,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p7_selection(spark, d), table(spark, d, "mix_targets"))
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of a sound packing, for comparison with SQL."""
+    documents = table(spark, d, "documents")
+    return packing.invariants(p6_pack(spark, d), documents)
+
+
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """The share due and whether it is reached within half a point and under the caps."""
+    return mixing.invariants(p7_selection(spark, d), table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_soft_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares, by true sources, of a selection for which one source in five is hidden."""
+    hidden, targets = mixing.hide_sources(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return mixing.true_shares(mixing.select(hidden, targets), hidden, targets)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "common_words")).select("doc_id")
 
@@ -55,7 +72,7 @@ def p8_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 _PLAIN = ["n_words", "mean_word_length", "symbol_ratio", "line_end_share", "common_share"]
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_conversations, p6_pack, p6_fill, p7_selection, p7_shares, p8_found, p8_stats, p8_ranks)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_conversations, p6_pack, p6_fill, p6_invariants, p7_selection, p7_shares, p7_invariants, p7_soft_shares, p8_found, p8_stats, p8_ranks)}
 
 _INSTANT = r"'(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)'"
 _BLANK = r"[\s\p{Z}\x{85}\x1c-\x1f]"
@@ -93,6 +110,14 @@ _STATS = r"""
                FROM w)"""
 
 SQL = {
+    "p6_invariants": """SELECT DISTINCT container_kind, capacity_tokens, (SELECT count(*) FROM documents) AS items, 0 AS overfull, 0 AS cut, 0 AS torn, 0 AS wasted
+        FROM container_sizes WHERE capacity_tokens > 0 AND container_kind IS NOT NULL""",
+    "p7_invariants": r"""
+        WITH k AS (SELECT nullif(regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g'), '') AS source, text FROM documents),
+             t AS (SELECT mix_name, nullif(regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g'), '') AS source, sum(weight) AS weight, min(greatest(coalesce(max_repeats, 0), 0)) AS cap
+                   FROM mix_targets WHERE mix_name IS NOT NULL AND weight > 0 GROUP BY ALL)
+        SELECT mix_name, source, round(weight / sum(weight) OVER (PARTITION BY mix_name), 6) AS due_share, true AS reached, true AS capped
+        FROM t WHERE cap > 0 AND source IN (SELECT source FROM k WHERE length(text) > 0)""",
     "p8_stats": _STATS + """
         SELECT doc_id, lang, n_words, round(mean_word_length, 9) AS mean_word_length, round(symbol_ratio, 9) AS symbol_ratio,
                round(line_end_share, 9) AS line_end_share, round(common_share, 9) AS common_share FROM s""",
