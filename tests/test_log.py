@@ -3,9 +3,13 @@ import json
 import math
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+import verify
+
 from threadlake.functions import text as X
 from threadlake.operators import catalog, folds, maintain, search, vectors
 from threadlake.plans import log_queries
@@ -96,9 +100,9 @@ def test_folds(spark):
     recs = transcripts.records(lines(spark), ["line_id", "file_id", "line_no"]).cache()
     assert {r.line_id: r.session_id for r in folds.inherit_sessions(recs).collect()} == {1: "s1", 2: "s1", 4: "s1", 5: "s1", 7: "s1", 8: "s2"}
     f = {r.session_id: r for r in folds.session_files(recs).collect()}
-    assert (f["s1"].title, f["s1"].cwd, f["s1"].first_user_msg, f["s1"].started_at, f["s1"].ended_at) == ("by hand", "/d/new", "first\n", "2025-01-01T00:00:00Z", "2025-01-01T00:02:00Z")
+    assert (f["s1"].title, f["s1"].cwd, f["s1"].first_user_msg, f["s1"].started_at, f["s1"].ended_at) == ("by hand", "/d/new", "first", "2025-01-01T00:00:00Z", "2025-01-01T00:02:00Z")
     total = {r.session_id: (r.n_user, r.n_assistant, r.chars_text) for r in folds.sessions_rollup(folds.session_files(recs), folds.turns_of(folds.inherit_sessions(recs))).collect()}
-    assert total == {"s1": (2, 0, 15), "s2": (0, 1, 5)}
+    assert total == {"s1": (2, 0, 14), "s2": (0, 1, 5)}
     used = folds.touches(recs, ["file_id", "line_no", "ts"])
     assert {(r.kind, r.value) for r in used.collect()} == {("tool", "Shell"), ("file", "f"), ("command", "api_key=[REDACTED] run")}
     assert folds.touch_counts(used, ["file_id"]).count() == 3
@@ -106,10 +110,43 @@ def test_folds(spark):
     assert {r.kind for r in folds.record_types(recs).collect()} == {"user", "ai-title", "assistant", "custom-title"}
     assert [(r.line_no, r.tokens) for r in folds.last_usage(recs).collect()] == [(6, 7)]
     merged = folds.merge_state(folds.session_files(recs.filter("line_no <= 3")), folds.session_files(recs.filter("line_no > 3").withColumn("own_session", F.coalesce("own_session", F.lit("s1")))), ["session_id", "file_id"])
-    assert {r.session_id: (r.cwd, r.title, r.ended_at) for r in merged.collect()}["s1"] == ("/d/new", "auto", "2025-01-01T00:02:00Z")
+    assert {r.session_id: (r.cwd, r.title, r.ended_at) for r in merged.collect()}["s1"] == ("/d/new", "by hand", "2025-01-01T00:02:00Z")
     assert folds.session_files(recs.limit(0)).count() == 0
 
 
+def test_text_is_cleaned_on_its_way_and_nothing_secret_comes_out(spark, tmp_path):
+    """Planted tags and credentials; every query that gives texts agrees with its SQL and leaks none."""
+    key = "Zx" + "9k" * 12
+    say = lambda role, text, **m: record(role, "s1", timestamp=f"2025-01-01T0{m.pop('h', 1)}:00:00Z", message={"role": role, "content": text}, **m)
+    use = lambda c: [{"type": "tool_use", "name": "Bash", "input": {"command": c}}, {"type": "text", "text": f"done with api_key={key}"}]
+    raw = [
+        say("user", "<system-reminder>x</system-reminder>  a"), say("user", f"<command-name>/go</command-name> sk-{key}", h=2), say("user", f"use password={key} now\n\n\n\nplease", h=3),
+        record("custom-title", "s1", customTitle=f"token: {key}"), record("ai-title", "s1", agentName="no"), record("mode", "s1", cwd="/not/this", timestamp="2030-01-01T00:00:00Z"),
+        say("user", "[Request interrupted by user]", h=4), say("assistant", use(f"export A_KEY={key}; ls " + "x" * 400), h=5), say("user", "Caveat: The messages below are odd\nreal", h=6), say("user", "piped in", h=7, entrypoint="sdk-cli"),
+        *[say("user", f"{k} " + "m" * 1600, h=8) for k in range(30)],
+    ]
+    spark.createDataFrame([(k, 1, k + 1, True, r) for k, r in enumerate(raw)], "line_id bigint, file_id bigint, line_no bigint, has_newline boolean, raw string").write.parquet(f"{tmp_path}/transcript_lines.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW transcript_lines AS SELECT * FROM read_parquet('{tmp_path}/transcript_lines.parquet/*.parquet')")
+    for name in ("session_file_fold", "merge_state", "sessions_rollup", "delta_messages", "delta_commands", "delta_report"):
+        said = verify.compare(spark, con, str(tmp_path), name, entry.oracle_sql()[name])
+        assert said.startswith("same"), (name, said)
+        assert key not in str(log_queries.QUERIES[name](spark, str(tmp_path)).collect()), name
+    fold = log_queries.session_file_fold(spark, str(tmp_path)).first()
+    assert (fold.title, fold.title_custom, fold.cwd, fold.first_user_msg) == ("token: [REDACTED]", True, None, "[REDACTED]")
+    report = log_queries.delta_report(spark, str(tmp_path)).first()
+    assert len(report.report) <= 14_000 and report.n_messages == 8 and "[Request" not in report.report
+
+
+def test_sessions_carry_over_partitions(spark):
+    """A file longer than a range partition, and one without any session."""
+    rows = [(1, n, "s%d" % (n // 100) if n % 100 == 50 else None, False) for n in range(3000)] + [(2, n, None, False) for n in range(5)] + [(None, 1, "z", False), (None, 2, None, False), (None, 3, None, True)]
+    recs = spark.createDataFrame(rows, "file_id bigint, line_no bigint, own_session string, is_meta boolean").repartition(4)
+    got = {(r.file_id, r.line_no): r.session_id for r in folds.inherit_sessions(recs).collect()}
+    assert got == {(1, n): f"s{(n - 50) // 100}" for n in range(50, 3000)} | {(None, 1): "z", (None, 2): "z"}
+
+
 def test_audits(spark):
     sessions = spark.createDataFrame([("a", 5), ("b", 1), ("x", None)], "session_id string, n_user bigint")
     assert {(r.session_id, r.stored, r.counted) for r in folds.count_mismatches(sessions, turns(spark)).collect()} == {("a", 5, 1), ("x", None, 0)}
@@ -208,15 +245,17 @@ def test_alarm_stream_over_batches(spark, tmp_path):
 def test_delta(spark):
     rows = [(1, 1, 0.0, False, False, False), (1, 2, 10.0, True, False, False), (1, 3, 20.0, False, False, False), (1, 4, None, False, False, False), (1, 5, 21.0, False, True, False)]
     df = spark.createDataFrame(rows, "f int, line int, epoch double, is_boundary boolean, is_sidechain boolean, is_meta boolean")
-    assert [tuple(r) for r in alarm.cycle_start(df, "f", 1000.0).collect()] == [(1, 10.0)]
-    assert [tuple(r) for r in alarm.cycle_start(df, "f", 600.0).collect()] == [(1, -1.0)]
+    assert [tuple(r) for r in alarm.cycle_start(df, "f", 1000.0, line="line").collect()] == [(1, 10.0)]
+    assert [tuple(r) for r in alarm.cycle_start(df, "f", 600.0, line="line").collect()] == [(1, -1.0)]
     assert [r.line for r in alarm.delta(df, "f", spark.createDataFrame([(1, 10.0)], "f int, since double")).collect()] == [3]
     texts = df.withColumn("t", F.lit("xxxx"))
     assert sorted(r.line for r in alarm.within_budget(texts, "f", ["line"], "t", 8, 1).collect()) == [4, 5]
     assert sorted(r.line for r in alarm.keep_last(texts, "f", ["line"], 2).collect()) == [4, 5]
     notes = spark.createDataFrame([("s", "a", 9, False, "other"), ("s", "b", 1, False, "s"), ("s", "c", 5, False, None), ("t", "d", 1, False, "s")], "session_id string, path string, mtime int, own boolean, origin string")
     assert [(r.session_id, r.path) for r in maintain.choose_note(notes).collect()] == [("s", "b")]
-    assert X.TAGS and alarm.stale(F.lit("compact"), F.lit(1), F.lit(2)) is not None
+    cases = [(s, n, b) for s in ("compact", "resume") for n, b in ((1, 2), (2, 1), (2, 2))]
+    stale = spark.createDataFrame(cases, "s string, n int, b int").select("s", "n", "b", alarm.stale(F.col("s"), F.col("n"), F.col("b")).alias("x"))
+    assert {tuple(r[:3]) for r in stale.collect() if r.x} == {("compact", 1, 2)}
 
 
 def test_delta_of_edits_and_commands(spark):
@@ -240,8 +279,8 @@ def test_delta_queries_are_whole(spark, tmp_path):
     rows = [(n, 1, n, True, json.dumps({"type": t, "sessionId": "s", "timestamp": f"2025-01-01T{n // 60 + 1:02}:{n % 60:02}:00Z", "message": {"role": t, "content": c}})) for n, (t, c) in enumerate(records)]
     spark.createDataFrame(rows, "line_id bigint, file_id bigint, line_no bigint, has_newline boolean, raw string").write.parquet(f"{tmp_path}/transcript_lines.parquet")
     q = log_queries.QUERIES
-    assert q["delta_messages_full"](spark, str(tmp_path)).count() == 5
-    assert {r.value for r in q["delta_edits"](spark, str(tmp_path)).collect()} == {f"/e{k}" for k in range(35)}
+    assert q["delta_messages"](spark, str(tmp_path)).count() == 5
+    assert {r.value for r in q["delta_files"](spark, str(tmp_path)).collect()} == {f"/e{k}" for k in range(35)}
     assert sorted(r.value for r in q["delta_commands"](spark, str(tmp_path)).collect()) == sorted(f"run {k}" for k in range(5, 35))
 
 
@@ -268,5 +307,5 @@ def test_leak_audit_reads_touches_and_heads_of_notes(spark, tmp_path):
     }
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
-    got = {r.source: r.n for r in log_queries.QUERIES["leak_audit_full"](spark, str(tmp_path)).collect()}
+    got = {r.source: r.n for r in log_queries.QUERIES["leak_audit"](spark, str(tmp_path)).collect()}
     assert got == {"turns": 1, "cleaned": 0, "notes": 2, "titles": 0, "touches": 1}

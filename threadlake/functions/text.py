@@ -133,10 +133,15 @@ def clean_text(text: Column) -> Column:
     return redact(collapse_blanks(text))
 
 
-def clean_note(text: Column) -> Column:
-    """The note reader's cleaning: a typed command keeps its name, other tags vanish."""
+def strip_note_tags(text: Column) -> Column:
+    """A typed command keeps its name, other injected tags vanish."""
     text = F.regexp_replace(text, r"(?s)<command-name>(.*?)</command-name>", "$1 ")
-    return redact(strip_text(F.regexp_replace(strip_pairs(text, NOTE_TAGS, ""), r"\n{3,}", "\n\n")), NOTE_REDACTIONS)
+    return strip_text(F.regexp_replace(strip_pairs(text, NOTE_TAGS, ""), r"\n{3,}", "\n\n"))
+
+
+def clean_note(text: Column) -> Column:
+    """The note reader's cleaning: tags out, then its own masks."""
+    return redact(strip_note_tags(text), NOTE_REDACTIONS)
 
 
 def leaks(text: Column) -> Column:

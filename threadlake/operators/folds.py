@@ -8,27 +8,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlake.functions.text import WS, leaks, project_for, redact, shorten, strip_text
+from threadlake.functions.instants import non_blank
+from threadlake.functions.text import NOTE_REDACTIONS, WS, clean_text, leaks, project_for, redact, shorten, strip_note_tags, strip_text
 from threadlake.sources.transcripts import KNOWN_BLOCKS, KNOWN_RECORDS, TITLE_TYPES, TURN_TYPES, blocks, blocks_text
+from threadlake.storage import materialize
 
 #: The tools that change a file, and those that run commands.
 EDITORS = ["Write", "Edit", "MultiEdit", "NotebookEdit"]
 SHELLS = ["Bash"]
+INTERRUPTED = "[Request interrupted"
+
+
+def inherited(keys: DataFrame, file: str, line: str) -> DataFrame:
+    """(file, line, session_id) of the rows of keys (file, line, own_session) without a session of
+    their own: the last above in the file, or null. Rows are sorted by range partitions, and what
+    a partition begins with is carried over from those before, so no file needs to fit in a task."""
+    ranged, _ = materialize(keys.select(F.col(file).alias("f"), F.col(line).alias("l"), "own_session").repartitionByRange("f", "l").withColumn("pid", F.spark_partition_id()), "lines")
+    local = ranged.withColumn("above", F.last("own_session", ignorenulls=True).over(Window.partitionBy("f", "pid").orderBy("l")))
+    ends = ranged.groupBy("f", "pid").agg(F.max_by("own_session", F.when(F.col("own_session").isNotNull(), F.col("l"))).alias("own"))
+    before = Window.partitionBy("f").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col("f").alias("ef"), F.col("pid").alias("epid"), F.last("own", ignorenulls=True).over(before).alias("carried"))
+    lacking = local.filter("own_session is null").join(ends, F.col("f").eqNullSafe(F.col("ef")) & (F.col("pid") == F.col("epid")))
+    return lacking.groupBy("f", "l").agg(F.max(F.coalesce("above", "carried")).alias("__session"))
 
 
 def inherit_sessions(records: DataFrame, file: str = "file_id", line: str = "line_no") -> DataFrame:
     """Records but meta ones, with ``session_id``: their own or the last above in the file; those
-    without one are dropped."""
-    above = Window.partitionBy(file).orderBy(line)
-    rows = records.filter(~F.col("is_meta")).withColumn("session_id", F.last("own_session", ignorenulls=True).over(above))
-    return rows.filter("session_id is not null")
+    without one are dropped. Only line numbers and ids are sorted, and only records without an
+    id of their own are joined; all others pass as they are read."""
+    rows = records.filter(~F.col("is_meta"))
+    found, _ = materialize(inherited(rows.select(file, line, "own_session"), file, line).filter("__session is not null"), "inherited")
+    own = rows.filter("own_session is not null").withColumn("session_id", F.col("own_session"))
+    lacking = rows.filter("own_session is null").join(found, F.col(file).eqNullSafe(F.col("f")) & (F.col(line) == F.col("l")))
+    return own.unionByName(lacking.withColumn("session_id", F.col("__session")).drop("f", "l", "__session"))
+
+
+def said(content: Column) -> Column:
+    """The text of a record's content, without injected blocks and credentials."""
+    return clean_text(blocks_text(content))
 
 
 def turns_of(records: DataFrame) -> DataFrame:
-    """The turns that records make: user and assistant records with at least two characters."""
-    rows = records.filter(F.col("type").isin(TURN_TYPES)).withColumn("text", blocks_text(F.col("content")))
+    """The turns that records make: user and assistant records whose cleaned text has at least
+    two characters; what a program fed in is no text."""
+    rows = records.filter(F.col("type").isin(TURN_TYPES))
     headless = (F.col("type") == "user") & (F.coalesce("entrypoint", F.lit("")) == "sdk-cli")
-    return rows.withColumn("text", F.when(headless, "").otherwise(F.col("text"))).filter(F.length("text") >= 2)
+    return rows.withColumn("text", F.when(headless, "").otherwise(said(F.col("content")))).filter(F.length("text") >= 2)
 
 
 def _last(column: str, line: str, when: Column | None = None) -> Column:
@@ -41,35 +66,50 @@ def _first(column: str, line: str, when: Column) -> Column:
 
 
 def session_files(records: DataFrame, file: str = "file_id", line: str = "line_no") -> DataFrame:
-    """One row per (session, file): last folder, branch and entry point, first and last time, the
-    title (last one given by hand, else the first automatic one) and the first user message."""
-    rows = inherit_sessions(records, file, line)
-    rows = rows.withColumn("text", F.when(F.col("type") == "user", F.substring(blocks_text(F.col("content")), 1, 400)))
-    said = (F.col("type") == "user") & ~F.col("is_sidechain") & (F.length("text") >= 2) & ~F.col("text").startswith("<")
-    stamp = F.nullif("ts", F.lit(""))
+    """``fold_files`` of records whose sessions are yet to be inherited."""
+    return fold_files(inherit_sessions(records, file, line), file, line)
+
+
+def fold_files(rows: DataFrame, file: str = "file_id", line: str = "line_no") -> DataFrame:
+    """One row per (session, file) with a turn or title record: of the turn records the last folder,
+    branch and entry point and the first and last time; the title (last one given by hand, else
+    the first automatic one), masked, with title_custom telling whether it was given by hand; and
+    the first user message, cleaned."""
+    rows = rows.filter(F.col("type").isin(*TURN_TYPES, *TITLE_TYPES))
+    turn = F.col("type").isin(TURN_TYPES)
+    typed = (F.col("type") == "user") & ~F.col("is_sidechain") & (F.coalesce("entrypoint", F.lit("")) != "sdk-cli")
+    rows = rows.withColumn("text", F.when(typed, said(F.col("content"))))
+    first = (F.length("text") >= 2) & ~F.col("text").startswith("<")
+    rows = rows.withColumn("text", F.when(first, F.substring("text", 1, 400)))
+    stamp = F.when(turn, F.nullif("ts", F.lit("")))
+    custom = _last("custom_title", line, F.col("type") == TITLE_TYPES[0])
     return rows.groupBy("session_id", file).agg(
-        _last("cwd", line).alias("cwd"),
-        _last("git_branch", line).alias("git_branch"),
-        _last("entrypoint", line).alias("entrypoint"),
+        _last("cwd", line, turn).alias("cwd"),
+        _last("git_branch", line, turn).alias("git_branch"),
+        _last("entrypoint", line, turn).alias("entrypoint"),
         F.min(stamp).alias("started_at"),
         F.max(stamp).alias("ended_at"),
-        F.coalesce(_last("custom_title", line, F.col("type") == TITLE_TYPES[0]), _first("auto_title", line, F.col("type").isin(TITLE_TYPES[1:]))).alias("title"),
-        _first("text", line, said).alias("first_user_msg"),
+        redact(F.coalesce(custom, _first("auto_title", line, F.col("type").isin(TITLE_TYPES[1:])))).alias("title"),
+        custom.isNotNull().alias("title_custom"),
+        _first("text", line, F.col("text").isNotNull()).alias("first_user_msg"),
     )
 
 
 def merge_state(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Earlier rows merged with those of a later pass: new folder, branch and entry point beat old
-    ones, old title and first message stay, times widen."""
+    """Earlier rows merged with those of a later pass: a new folder, branch or entry point beats the
+    old one; a title given by hand in the later pass beats the old title, and that an automatic
+    one; the old first message stays; times widen."""
     a, b = old.alias("a"), new.alias("b")
     both = a.join(b, keys, "full_outer")
     newer = lambda c: F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
     older = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c)
+    custom = lambda t: F.coalesce(F.col(f"{t}.title_custom"), F.lit(False))
     return both.select(
         *keys, newer("cwd"), newer("git_branch"), newer("entrypoint"),
         F.least(F.col("a.started_at"), F.col("b.started_at")).alias("started_at"),
         F.greatest(F.col("a.ended_at"), F.col("b.ended_at")).alias("ended_at"),
-        older("title"), older("first_user_msg"),
+        F.when(custom("b"), F.col("b.title")).otherwise(F.coalesce("a.title", "b.title")).alias("title"),
+        (custom("a") | custom("b")).alias("title_custom"), older("first_user_msg"),
     )
 
 
@@ -103,17 +143,27 @@ def touches(records: DataFrame, keep: list[str], path_chars: int = 400, command_
 
 
 def delta_uses(records: DataFrame, keep: list[str], editors: list[str] = EDITORS, shells: list[str] = SHELLS, command_chars: int = 300) -> DataFrame:
-    """Files written or edited and shell commands of assistant records: (keep..., pos, kind, tool,
-    value). A path is whole; a command is put on one line, masked and then shortened."""
+    """Files written or edited, shell commands and texts of assistant records: (keep..., pos, kind,
+    tool, value), kind being edit, command or text. A path is whole; a command is put on one line,
+    masked and then shortened; a text is as it is."""
     rows = records.filter(F.col("type") == "assistant").select(*keep, F.posexplode(blocks(F.col("content"))).alias("pos", "b"))
-    rows = rows.filter(F.try_variant_get("b", "$.type", "string") == "tool_use")
     got = lambda p: F.nullif(F.try_variant_get("b", p, "string"), F.lit(""))
     path = F.coalesce(got("$.input.file_path"), got("$.input.notebook_path"))
     line = strip_text(F.regexp_replace(got("$.input.command"), f"(?U)[{WS}]+", " "))
-    rows = rows.select(*keep, "pos", got("$.name").alias("tool"), path.alias("path"), line.alias("line"))
-    edit, run = F.col("tool").isin(editors) & F.col("path").isNotNull(), F.col("tool").isin(shells) & F.col("line").isNotNull()
-    kind = F.when(edit, "edit").when(run, "command")
-    return rows.select(*keep, "pos", kind.alias("kind"), "tool", F.when(edit, redact(F.col("path"))).otherwise(shorten(redact(F.col("line")), command_chars)).alias("value")).filter("kind is not null")
+    rows = rows.select(*keep, "pos", F.try_variant_get("b", "$.type", "string").alias("block"), got("$.name").alias("tool"), path.alias("path"), line.alias("line"), got("$.text").alias("text"))
+    used = F.col("block") == "tool_use"
+    kind = F.when(used & F.col("tool").isin(editors) & F.col("path").isNotNull(), "edit").when(used & F.col("tool").isin(shells) & F.col("line").isNotNull(), "command").when((F.col("block") == "text") & non_blank(F.col("text")), "text")
+    masked = lambda c: redact(F.col(c), NOTE_REDACTIONS)
+    value = F.when(kind == "edit", masked("path")).when(kind == "command", shorten(masked("line"), command_chars)).otherwise(F.col("text"))
+    return rows.select(*keep, "pos", kind.alias("kind"), "tool", value.alias("value")).filter("kind is not null")
+
+
+def delta_messages(records: DataFrame, keep: list[str], most_chars: int = 1500) -> DataFrame:
+    """What users typed: (keep..., text), without tags, requests that were interrupted left out,
+    masked and then shortened."""
+    rows = records.filter(F.col("type") == "user").select(*keep, strip_note_tags(blocks_text(F.col("content"))).alias("text"))
+    rows = rows.filter((F.col("text") != "") & ~F.col("text").startswith(INTERRUPTED))
+    return rows.withColumn("text", shorten(redact(F.col("text"), NOTE_REDACTIONS), most_chars))
 
 
 def touch_counts(used: DataFrame, keys: list[str], line: str = "line_no", ts: str = "ts") -> DataFrame:

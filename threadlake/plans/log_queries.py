@@ -20,7 +20,7 @@ from threadlake.operators.incremental import good_positions, present_files
 from threadlake.plans.log_sql import AS_OF, DELTA_MAX, FALLBACK, LINT, NOTE_QUERY, PHRASES, QUERY, SHORT, SQL
 from threadlake.sources.tables import table
 from threadlake.sources.transcripts import blocks_text, records, split_files
-from threadlake.storage import broadcast_if_bounded, shared_dir
+from threadlake.storage import broadcast_if_bounded, shared_dir, spread
 from threadlake.streaming import alarm
 
 
@@ -32,8 +32,8 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return folds.latest_sessions(table(spark, d, "sessions"))
 
 
-def recs(spark: SparkSession, d: str) -> DataFrame:
-    return records(table(spark, d, "transcript_lines"), ["line_id", "file_id", "line_no"])
+def recs(spark: SparkSession, d: str, holding: str | None = None) -> DataFrame:
+    return records(spread(table(spark, d, "transcript_lines").select("line_id", "file_id", "line_no", "has_newline", "raw")), ["line_id", "file_id", "line_no"], holding)
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
@@ -114,11 +114,7 @@ def semantic_memories(spark, d):
 
 
 def embed_pending(spark, d):
-    return vectors.pending(turns(spark, d), sessions(spark, d), vecs(spark, d, "turn_id"))
-
-
-def embed_worklist(spark, d):
-    """embed_pending and the notes without a vector."""
+    """Notes and turns that still lack a vector."""
     return vectors.worklist(turns(spark, d), sessions(spark, d), vecs(spark, d, "turn_id"), notes(spark, d), vecs(spark, d, "note_id"))
 
 
@@ -177,9 +173,16 @@ def session_file_fold(spark, d):
     return _files(spark, d)
 
 
+def merge_state(spark, d):
+    """Session files of the lines up to the tenth of each file, merged with those of a later pass
+    over the rest."""
+    rows = recs(spark, d)
+    return folds.merge_state(folds.session_files(rows.filter("line_no <= 10")), folds.session_files(rows.filter("line_no > 10")), ["session_id", "file_id"])
+
+
 def sessions_rollup(spark, d):
-    rows = folds.turns_of(folds.inherit_sessions(recs(spark, d)))
-    return folds.sessions_rollup(_files(spark, d), rows)
+    rows = folds.inherit_sessions(recs(spark, d))
+    return folds.sessions_rollup(folds.fold_files(rows), folds.turns_of(rows))
 
 
 def _touched(spark, d):
@@ -270,7 +273,7 @@ def _tagged(spark, d):
         .when(k == 2, F.concat(F.lit("Caveat: The messages below\n"), t))
         .otherwise(F.concat(t, F.lit("\t  \n\n\n\n<task-notification>a</task-notification></task-notification>")))
     )
-    return table(spark, d, "turns").select("turn_id", built.alias("text"))
+    return spread(table(spark, d, "turns").select("turn_id", "text")).select("turn_id", built.alias("text"))
 
 
 def strip_tag_pairs(spark, d):
@@ -294,7 +297,7 @@ def _secret(spark, d):
         [" eyJ", key, ".eyJ", key, ".", key], [" -----BEGIN RSA PRIVATE KEY-----\n", key, "\n-----END RSA PRIVATE KEY----- done"],
     ]
     shaped = F.array(*[F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in s]) for s in shapes])
-    return table(spark, d, "turns").select("turn_id", F.concat(F.coalesce("text", F.lit("")), F.get(shaped, F.pmod("turn_id", F.lit(12)).cast("int"))).alias("text"))
+    return spread(table(spark, d, "turns").select("turn_id", "session_id", "text")).select("turn_id", F.concat(F.coalesce("text", F.lit("")), F.get(shaped, F.pmod("turn_id", F.lit(12)).cast("int"))).alias("text"))
 
 
 def redact_text(spark, d):
@@ -302,11 +305,8 @@ def redact_text(spark, d):
 
 
 def leak_audit(spark, d):
-    return folds.leak_audit({"turns": _secret(spark, d), "cleaned": redact_text(spark, d), "notes": table(spark, d, "documents"), "titles": table(spark, d, "sessions").select(F.col("title").alias("text"))})
-
-
-def leak_audit_full(spark, d):
-    """leak_audit with touches, and notes as name, description and body."""
+    """Exposed credentials in turns (with invented ones), in the same after masking, in notes as name,
+    description and body, in titles, and in touches."""
     whole = F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("name", "description", "body")])
     sources = {"turns": _secret(spark, d), "cleaned": redact_text(spark, d), "notes": notes(spark, d).select(whole.alias("text")), "titles": table(spark, d, "sessions").select(F.col("title").alias("text"))}
     return folds.leak_audit(sources | {"touches": _touched(spark, d).select(F.col("value").alias("text"))})
@@ -411,16 +411,23 @@ def thresholds(spark, d):
 
 
 def _dated(spark, d):
-    return folds.inherit_sessions(recs(spark, d)).withColumn("epoch", X.epoch_seconds(F.col("ts"))).withColumn("is_boundary", F.coalesce(F.col("subtype") == "compact_boundary", F.lit(False)))
+    return recs(spark, d, '"timestamp"').withColumn("epoch", X.epoch_seconds(F.col("ts"))).withColumn("is_boundary", F.coalesce(F.col("subtype") == "compact_boundary", F.lit(False)))
 
 
 def cycle_start(spark, d):
     return alarm.cycle_start(_dated(spark, d), "file_id", AS_OF).select("file_id", F.round("start", 3).alias("start"))
 
 
+def _since(spark, d):
+    return _dated(spark, d).filter("epoch is not null").groupBy("file_id").agg((F.min("epoch") + 60.0).alias("since"))
+
+
 def _delta(spark, d):
-    rows = _dated(spark, d)
-    return alarm.delta(rows, "file_id", rows.filter("epoch is not null").groupBy("file_id").agg((F.min("epoch") + 60.0).alias("since")))
+    return alarm.delta(_dated(spark, d).filter(F.col("type").isin("user", "assistant")), "file_id", _since(spark, d))
+
+
+def _delta_uses(spark, d):
+    return folds.delta_uses(_delta(spark, d), ["file_id", "line_no"], [*folds.EDITORS, "WriteFile"], [*folds.SHELLS, "Shell"])
 
 
 def delta_counts(spark, d):
@@ -428,35 +435,31 @@ def delta_counts(spark, d):
 
 
 def delta_files(spark, d):
-    used = folds.touches(_delta(spark, d), ["file_id", "line_no"]).filter("kind = 'file'")
-    last = used.groupBy("file_id", "value").agg(F.max("line_no").alias("line_no"))
-    return alarm.keep_last(last, "file_id", ["line_no", "value"], 40)
+    """The last 40 files that were written or edited, by tool; reads take no places."""
+    used = _delta_uses(spark, d).filter("kind = 'edit'")
+    last = used.groupBy("file_id", "tool", "value").agg(F.max(F.struct("line_no", "pos")).alias("at")).select("file_id", "tool", "value", "at.line_no", "at.pos")
+    return alarm.keep_last(last, "file_id", ["line_no", "pos"], 40)
 
 
 def delta_messages(spark, d):
-    said = _delta(spark, d).filter("type = 'user'").select("file_id", "line_no", blocks_text(F.col("content")).alias("text")).filter(F.length("text") >= 2)
-    return alarm.within_budget(alarm.keep_last(said, "file_id", ["line_no"], 25), "file_id", ["line_no"], "text", 600)
-
-
-def delta_messages_full(spark, d):
-    """delta_messages with the reference's budget."""
-    said = _delta(spark, d).filter("type = 'user'").select("file_id", "line_no", blocks_text(F.col("content")).alias("text")).filter(F.length("text") >= 2)
+    """The last 25 messages that fit the budget, cleaned, masked and shortened."""
+    said = folds.delta_messages(_delta(spark, d), ["file_id", "line_no"])
     return alarm.within_budget(alarm.keep_last(said, "file_id", ["line_no"], 25), "file_id", ["line_no"], "text", DELTA_MAX)
 
 
-def delta_edits(spark, d):
-    """The last 40 files that were written or edited, by tool; reads take no places."""
-    used = folds.delta_uses(_delta(spark, d), ["file_id", "line_no"], [*folds.EDITORS, "WriteFile"], [*folds.SHELLS, "Shell"]).filter("kind = 'edit'")
-    last = used.groupBy("file_id", "tool", "value").agg(F.max(F.struct("line_no", "pos")).alias("at")).select("file_id", "tool", "value", "at.line_no", "at.pos")
-    return alarm.keep_last(last, "file_id", ["line_no", "pos"], 40)
-
-
 def delta_commands(spark, d):
     """The last 30 shell commands."""
-    used = folds.delta_uses(_delta(spark, d), ["file_id", "line_no"], [*folds.EDITORS, "WriteFile"], [*folds.SHELLS, "Shell"]).filter("kind = 'command'").select("file_id", "line_no", "pos", "value")
+    used = _delta_uses(spark, d).filter("kind = 'command'").select("file_id", "line_no", "pos", "value")
     return alarm.keep_last(used, "file_id", ["line_no", "pos"], 30)
 
 
+def delta_report(spark, d):
+    """The whole delta of each file as one text of a bounded length."""
+    rows = _delta(spark, d)
+    counts = rows.groupBy("file_id", "since").agg(F.count("*").alias("n_after"))
+    return alarm.delta_report(folds.delta_messages(rows, ["file_id", "line_no", "epoch"]), _delta_uses(spark, d), counts, "file_id", DELTA_MAX)
+
+
 def note_selection(spark, d):
     docs = table(spark, d, "documents").filter("session_id is not null")
     kind = F.pmod("doc_id", F.lit(3))
@@ -465,13 +468,13 @@ def note_selection(spark, d):
 
 
 _ALL = [
-    search_ranked, search_top_turns, bm25_scores, fallback_strategy, short_term_search, snippet, memory_search, vector_dot, semantic_sessions, semantic_memories, embed_pending, embed_worklist,
+    search_ranked, search_top_turns, bm25_scores, fallback_strategy, short_term_search, snippet, memory_search, vector_dot, semantic_sessions, semantic_memories, embed_pending,
     role_filter, visibility_filter, project_like, since_filter, sessions_grep, semi_project, anti_headless, orphans, canary_counts,
-    session_file_fold, sessions_rollup, touches_agg, tool_uses_explode, top_touches, drift_types, drift_blocks, stats_totals, busiest_projects, duplicate_turns, verify_counts, ffill_session, last_usage,
+    session_file_fold, merge_state, sessions_rollup, touches_agg, tool_uses_explode, top_touches, drift_types, drift_blocks, stats_totals, busiest_projects, duplicate_turns, verify_counts, ffill_session, last_usage,
     sessions_list, show_ordered, show_context, show_last, show_head,
-    strip_tag_pairs, collapse_ws, clean_text, redact_text, leak_audit, leak_audit_full, marker_hits, slugify, project_for, local_date, age_bucket, lint_lines, memory_parse, ingest_roundtrip,
+    strip_tag_pairs, collapse_ws, clean_text, redact_text, leak_audit, marker_hits, slugify, project_for, local_date, age_bucket, lint_lines, memory_parse, ingest_roundtrip,
     manifest_plan, snapshot_diff, forget_antijoin, forget_dry_run, longest_prefix_project,
-    tier_alarm, tier_alarm_stream, thresholds, cycle_start, delta_counts, delta_files, delta_messages, delta_messages_full, delta_edits, delta_commands, note_selection,
+    tier_alarm, tier_alarm_stream, thresholds, cycle_start, delta_counts, delta_files, delta_messages, delta_commands, delta_report, note_selection,
 ]
 
 QUERIES = {f.__name__: f for f in _ALL} | {"blocks_text": blocks_text_query}

@@ -44,7 +44,7 @@ _R = f"""R AS (
     SELECT line_id, file_id, line_no, j ->> '$.type' AS type, coalesce(nullif(j ->> '$.sessionId', ''), nullif(j ->> '$.session_id', '')) AS own_session,
            j ->> '$.timestamp' AS ts, nullif(j ->> '$.cwd', '') AS cwd, nullif(j ->> '$.gitBranch', '') AS git_branch, nullif(j ->> '$.entrypoint', '') AS entrypoint,
            {_flag("isSidechain")} AS is_sidechain, {_flag("isMeta")} OR {_flag("isCompactSummary")} OR {_flag("isVisibleInTranscriptOnly")} AS is_meta,
-           nullif(j ->> '$.customTitle', '') AS custom_title, nullif(coalesce(j ->> '$.aiTitle', j ->> '$.agentName'), '') AS auto_title, j ->> '$.subtype' AS subtype,
+           nullif(j ->> '$.customTitle', '') AS custom_title, nullif(CASE j ->> '$.type' WHEN 'ai-title' THEN j ->> '$.aiTitle' WHEN 'agent-name' THEN j ->> '$.agentName' END, '') AS auto_title, j ->> '$.subtype' AS subtype,
            json_extract(j, '$.message.content') AS content, json_extract(j, '$.message.usage') AS usage
     FROM (SELECT *, {STRICT_JSON} AS j FROM transcript_lines WHERE has_newline) WHERE j IS NOT NULL AND json_type(j) = 'OBJECT'),
   RT AS (SELECT *, CASE json_type(content) WHEN 'ARRAY' THEN array_to_string(list_transform(list_filter(json_extract(content, '$[*]'), lambda b: b ->> '$.type' = 'text'), lambda b: coalesce(b ->> '$.text', '')), chr(10))
@@ -154,11 +154,55 @@ def _used(source: str) -> str:
     return _USED.format(source=source, **{k: _redacted(f"(b ->> '$.input.{k}')") for k in ("file_path", "path", "notebook_path", "command")})
 
 
-_FOLD = f"""FF AS (SELECT *, CASE WHEN type = 'user' THEN substr(text, 1, 400) END AS said FROM I),
-    FS AS (SELECT session_id, file_id, arg_max(cwd, line_no) FILTER (cwd IS NOT NULL) AS cwd, arg_max(git_branch, line_no) FILTER (git_branch IS NOT NULL) AS git_branch, arg_max(entrypoint, line_no) FILTER (entrypoint IS NOT NULL) AS entrypoint,
-           min(nullif(ts, '')) AS started_at, max(nullif(ts, '')) AS ended_at,
-           coalesce(arg_max(custom_title, line_no) FILTER (type = 'custom-title' AND custom_title IS NOT NULL), arg_min(auto_title, line_no) FILTER (type IN ('ai-title', 'agent-name') AND auto_title IS NOT NULL)) AS title,
-           arg_min(said, line_no) FILTER (type = 'user' AND NOT is_sidechain AND length(said) >= 2 AND NOT starts_with(said, '<')) AS first_user_msg FROM FF GROUP BY session_id, file_id)"""
+_NOTE_TAGS = [t for t in _TAG_NAMES if t != "command-name"]
+
+
+def _note_text(c: str) -> str:
+    c = f"regexp_replace({c}, '(?s)<command-name>(.*?)</command-name>', '\\1 ', 'g')"
+    for tag in _NOTE_TAGS:
+        c = f"regexp_replace({c}, '(?s)<{tag}>.*?</{tag}>', '', 'g')"
+    return _strip(rf"regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _note_redacted(c: str) -> str:
+    rules = [
+        (r"(^|[^A-Za-z0-9])sk-[A-Za-z0-9_\-]+", r"\1[REDACTED]"),
+        (rf"(?i)api[_-]?key{_SEP}[^\s\x1c-\x1f\"'']+", "[REDACTED-CREDENTIAL]"),
+        (rf"(?i)password{_SEP}[^\s\x1c-\x1f\"'']+", "[REDACTED-PASSWORD]"),
+        (r"""(\b[A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)=["'']?)([^/~$\s"''][^\s"'']{7,})""", r"\1[REDACTED]"),
+        (r"(Bearer[ \t]+)([Tt]oken\b)", "\\1\x01\\2"),
+        ("(Bearer[ \\t]+)[^\\s\x01]\\S*", r"\1[REDACTED]"),
+        ("\x01", ""),
+        (r"(^|[^A-Za-z0-9])(?:sk|pk|rk|whsec)_live_[A-Za-z0-9]+", r"\1[REDACTED]"),
+        (r"(^|[^A-Za-z0-9])AKIA[0-9A-Z]{16}", r"\1[REDACTED]"),
+        (r"(^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}", r"\1[REDACTED]"),
+        (r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]+", "[REDACTED]"),
+    ]
+    for pattern, mask in rules:
+        c = f"regexp_replace({c}, '{pattern}', '{mask}', 'g')"
+    return c
+
+
+def _shortened(c: str, n: int) -> str:
+    return f"(CASE WHEN length({c}) <= {n} THEN {c} ELSE substr({c}, 1, {n}) || ' ...[+' || (length({c}) - {n}) || ' chars]' END)"
+
+
+def _cleaned(c: str) -> str:
+    return _redacted(_blanks(f"regexp_replace({_pairs(c)}, '(?m)^Caveat: The messages below.*?$', ' ', 'g')"))
+
+
+def _fold(source: str, out: str) -> str:
+    """Session files of the records in source (with their sessions)."""
+    return f"""FF{out} AS (SELECT *, CASE WHEN type = 'user' AND NOT is_sidechain AND coalesce(entrypoint, '') <> 'sdk-cli' THEN {_cleaned("text")} END AS said FROM {source} WHERE type IN ('user', 'assistant', 'custom-title', 'ai-title', 'agent-name')),
+    F3{out} AS (SELECT *, type IN ('user', 'assistant') AS turn, CASE WHEN length(said) >= 2 AND NOT starts_with(said, '<') THEN substr(said, 1, 400) END AS first_said FROM FF{out}),
+    F4{out} AS (SELECT session_id, file_id, arg_max(cwd, line_no) FILTER (cwd IS NOT NULL AND turn) AS cwd, arg_max(git_branch, line_no) FILTER (git_branch IS NOT NULL AND turn) AS git_branch, arg_max(entrypoint, line_no) FILTER (entrypoint IS NOT NULL AND turn) AS entrypoint,
+           min(nullif(ts, '')) FILTER (turn) AS started_at, max(nullif(ts, '')) FILTER (turn) AS ended_at,
+           arg_max(custom_title, line_no) FILTER (type = 'custom-title' AND custom_title IS NOT NULL) AS custom, arg_min(auto_title, line_no) FILTER (auto_title IS NOT NULL) AS auto,
+           arg_min(first_said, line_no) FILTER (first_said IS NOT NULL) AS first_user_msg FROM F3{out} GROUP BY session_id, file_id),
+    {out} AS (SELECT * EXCLUDE (custom, auto), {_redacted("coalesce(custom, auto)")} AS title, custom IS NOT NULL AS title_custom FROM F4{out})"""
+
+
+_FOLD = _fold("I", "FS")
 
 _LISTED = """PR AS (SELECT path, s.size AS size, s.mtime AS mtime FROM (SELECT path, arg_max({'size': size, 'mtime': mtime}, {'l': listed_at, 'm': mtime, 's': size}) AS s FROM file_listing WHERE path IS NOT NULL GROUP BY path)),
     MF AS (SELECT path, p.size AS size, p.mtime AS mtime, p.o AS o FROM (SELECT path, arg_max({'size': size, 'mtime': mtime, 'o': "offset"}, {'r': run_id, 'l': last_scan, 'o': "offset", 's': size, 'm': mtime}) AS p
@@ -171,14 +215,20 @@ _TIER = """
          k AS (SELECT *, coalesce(max(want) OVER (PARTITION BY user_id, cycle ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM c)
     SELECT event_id, user_id, want, CASE WHEN want = 1 OR done = 0 THEN 'full' ELSE 'quick' END AS mode FROM k WHERE want > 0 AND want > done"""
 
-_DATED = f"""D AS (SELECT *, {_epoch("ts")} AS epoch, coalesce(subtype = 'compact_boundary', false) AS is_boundary FROM I)"""
+_DATED = f"""D AS (SELECT *, {_epoch("ts")} AS epoch, coalesce(subtype = 'compact_boundary', false) AS is_boundary FROM RT)"""
 _DELTA = f"""{_DATED}, SI AS (SELECT file_id, min(epoch) + 60.0 AS since FROM D WHERE epoch IS NOT NULL GROUP BY file_id),
-    DE AS (SELECT D.* FROM D JOIN SI USING (file_id) WHERE epoch > since AND NOT is_sidechain)"""
+    DE AS (SELECT D.*, since FROM D JOIN SI USING (file_id) WHERE epoch > since AND NOT is_sidechain AND NOT is_meta AND type IN ('user', 'assistant'))"""
 
 _USES = f"""B AS (SELECT file_id, line_no, generate_subscripts(bs, 1) - 1 AS pos, unnest(bs) AS b FROM (SELECT *, json_extract(content, '$[*]') AS bs FROM DE WHERE type = 'assistant' AND json_type(content) = 'ARRAY')),
     TU AS (SELECT file_id, line_no, CAST(pos AS INTEGER) AS pos, b ->> '$.name' AS tool, coalesce(nullif(b ->> '$.input.file_path', ''), nullif(b ->> '$.input.notebook_path', '')) AS path, nullif(b ->> '$.input.command', '') AS command FROM B WHERE b ->> '$.type' = 'tool_use'),
-    ED AS (SELECT file_id, tool, {_redacted("path")} AS value, max({{'line_no': line_no, 'pos': pos}}) AS p FROM TU WHERE tool IN ('Write', 'Edit', 'MultiEdit', 'NotebookEdit', 'WriteFile') AND path IS NOT NULL GROUP BY ALL),
-    CM AS (SELECT file_id, line_no, pos, {_redacted(_strip(f"regexp_replace(command, '{_W}+', ' ', 'g')"))} AS c FROM TU WHERE tool IN ('Bash', 'Shell') AND command IS NOT NULL)"""
+    ED AS (SELECT file_id, tool, {_note_redacted("path")} AS value, max({{'line_no': line_no, 'pos': pos}}) AS p FROM TU WHERE tool IN ('Write', 'Edit', 'MultiEdit', 'NotebookEdit', 'WriteFile') AND path IS NOT NULL GROUP BY ALL),
+    EL AS (SELECT * FROM (SELECT file_id, tool, value, p.line_no AS line_no, p.pos AS pos, row_number() OVER (PARTITION BY file_id ORDER BY p.line_no DESC, p.pos DESC) AS rn FROM ED) WHERE rn <= 40),
+    CM AS (SELECT file_id, line_no, pos, {_note_redacted(_strip(f"regexp_replace(command, '{_W}+', ' ', 'g')"))} AS c FROM TU WHERE tool IN ('Bash', 'Shell') AND command IS NOT NULL),
+    CL AS (SELECT file_id, line_no, pos, {_shortened("c", 300)} AS value FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC, pos DESC) AS rn FROM CM) WHERE rn <= 30)"""
+
+_TYPED = f"""SD0 AS (SELECT file_id, line_no, epoch, {_note_text("text")} AS text FROM DE WHERE type = 'user'),
+    SD1 AS (SELECT file_id, line_no, epoch, {_note_redacted("text")} AS text, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC) AS rn FROM SD0 WHERE text <> '' AND NOT starts_with(text, '[Request interrupted')),
+    SD AS (SELECT file_id, line_no, epoch, {_shortened("text", 1500)} AS text, rn FROM SD1 WHERE rn <= 25)"""
 
 _NOTES = "NT AS (SELECT doc_id AS note_id, source AS name, project AS description, text AS body, doc_id AS mtime FROM documents)"
 
@@ -201,9 +251,7 @@ SQL = {
         WHERE sim >= 0.05 AND session_id IN (SELECT session_id FROM S WHERE coalesce(entrypoint, '') <> 'sdk-cli') AND session_id NOT IN (SELECT session_id FROM RK)
         GROUP BY session_id ORDER BY sim DESC, session_id LIMIT 3""",
     "semantic_memories": f"SELECT doc_id AS note_id, round({_DOT}, 6) AS sim, source AS name FROM embeddings e JOIN documents ON doc_id = e.vec_id, {_Q} WHERE round({_DOT}, 6) >= 0.05 ORDER BY sim DESC, note_id LIMIT 3",
-    "embed_pending": f"""WITH {_T}, {_S} SELECT turn_id, ts, substr(text, 1, 2000) AS text FROM T WHERE NOT coalesce(is_sidechain, false) AND length(text) >= 40
-        AND session_id IN (SELECT session_id FROM S WHERE coalesce(entrypoint, '') <> 'sdk-cli') AND turn_id NOT IN (SELECT vec_id FROM embeddings)""",
-    "embed_worklist": f"""WITH {_T}, {_S} SELECT 't' AS kind, turn_id AS id, ts, substr(text, 1, 2000) AS text FROM T WHERE NOT coalesce(is_sidechain, false) AND length(text) >= 40
+    "embed_pending": f"""WITH {_T}, {_S} SELECT 't' AS kind, turn_id AS id, ts, substr(text, 1, 2000) AS text FROM T WHERE NOT coalesce(is_sidechain, false) AND length(text) >= 40
         AND session_id IN (SELECT session_id FROM S WHERE coalesce(entrypoint, '') <> 'sdk-cli') AND turn_id NOT IN (SELECT vec_id FROM embeddings)
         UNION ALL SELECT 'm', doc_id, NULL, substr(coalesce(source, '') || chr(10) || coalesce(project, '') || chr(10) || coalesce(text, ''), 1, 2000) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)""",
     "role_filter": f"WITH {_T} SELECT turn_id, role FROM T WHERE role IN ('user', 'assistant')",
@@ -218,9 +266,14 @@ SQL = {
         ('pipeline payload', '[System Instructions]'), ('after that', 'After that'), ('the next step', 'The next step'))
         SELECT canary, (SELECT count(*) FROM T WHERE role = 'user' AND starts_with(text, prefix)) AS n FROM P""",
     "session_file_fold": f"WITH {_R}, {_FOLD} SELECT * FROM FS",
+    "merge_state": f"""WITH {_R}, PS AS (SELECT *, last_value(own_session IGNORE NULLS) OVER (PARTITION BY file_id, line_no <= 10 ORDER BY line_no) AS session_id FROM RT WHERE NOT is_meta),
+        P1 AS (SELECT * FROM PS WHERE session_id IS NOT NULL AND line_no <= 10), P2 AS (SELECT * FROM PS WHERE session_id IS NOT NULL AND line_no > 10), {_fold("P1", "A")}, {_fold("P2", "B")}
+        SELECT session_id, file_id, coalesce(B.cwd, A.cwd) AS cwd, coalesce(B.git_branch, A.git_branch) AS git_branch, coalesce(B.entrypoint, A.entrypoint) AS entrypoint, least(A.started_at, B.started_at) AS started_at, greatest(A.ended_at, B.ended_at) AS ended_at,
+               CASE WHEN B.title_custom THEN B.title ELSE coalesce(A.title, B.title) END AS title, coalesce(A.title_custom, false) OR coalesce(B.title_custom, false) AS title_custom, coalesce(A.first_user_msg, B.first_user_msg) AS first_user_msg
+        FROM A FULL JOIN B USING (session_id, file_id)""",
     "sessions_rollup": f"""WITH {_R}, {_FOLD},
         TN AS (SELECT session_id, count(*) FILTER (type = 'user') AS n_user, count(*) FILTER (type = 'assistant') AS n_assistant, sum(length(txt)) AS chars_text
-               FROM (SELECT *, CASE WHEN type = 'user' AND coalesce(entrypoint, '') = 'sdk-cli' THEN '' ELSE text END AS txt FROM I WHERE type IN ('user', 'assistant')) WHERE length(txt) >= 2 GROUP BY session_id),
+               FROM (SELECT *, CASE WHEN type = 'user' AND coalesce(entrypoint, '') = 'sdk-cli' THEN '' ELSE {_cleaned("text")} END AS txt FROM I WHERE type IN ('user', 'assistant')) WHERE length(txt) >= 2 GROUP BY session_id),
         O AS (SELECT session_id, {", ".join(f"arg_max({c}, {{'e': coalesce(ended_at, ''), 'f': file_id}}) FILTER ({c} IS NOT NULL) AS {c}" for c in ("cwd", "git_branch", "title", "entrypoint"))},
                      arg_min(first_user_msg, {{'s': coalesce(started_at, '~'), 'f': file_id}}) FILTER (first_user_msg IS NOT NULL) AS first_user_msg, min(started_at) AS started_at, max(ended_at) AS ended_at FROM FS GROUP BY session_id)
         SELECT O.*, coalesce(n_user, 0) AS n_user, coalesce(n_assistant, 0) AS n_assistant, CAST(coalesce(chars_text, 0) AS BIGINT) AS chars_text FROM O LEFT JOIN TN USING (session_id)""",
@@ -252,9 +305,7 @@ SQL = {
     "collapse_ws": f"WITH {_TAGGED} SELECT turn_id, {_blanks('text')} AS text FROM TG",
     "clean_text": f"""WITH {_TAGGED}, CL AS (SELECT turn_id, {_blanks(f"regexp_replace({_pairs('text')}, '(?m)^Caveat: The messages below.*?$', ' ', 'g')")} AS text FROM TG) SELECT turn_id, {_redacted('text')} AS text FROM CL""",
     "redact_text": f"WITH {_SECRET} SELECT turn_id, {_redacted('text')} AS text FROM SE",
-    "leak_audit": f"""WITH {_SECRET} SELECT 'turns' AS source, count(*) FILTER ({_LEAKY('text')}) AS n FROM SE UNION ALL SELECT 'cleaned', 0
-        UNION ALL SELECT 'notes', count(*) FILTER ({_LEAKY('text')}) FROM documents UNION ALL SELECT 'titles', count(*) FILTER ({_LEAKY('title')}) FROM sessions""",
-    "leak_audit_full": f"""WITH {_SECRET}, {_R}, {_used('I')}, AU AS (SELECT 'turns' AS source, text FROM SE UNION ALL SELECT 'notes', concat_ws(' ', coalesce(source, ''), coalesce(project, ''), coalesce(text, '')) FROM documents
+    "leak_audit": f"""WITH {_SECRET}, {_R}, {_used('I')}, AU AS (SELECT 'turns' AS source, text FROM SE UNION ALL SELECT 'notes', concat_ws(' ', coalesce(source, ''), coalesce(project, ''), coalesce(text, '')) FROM documents
         UNION ALL SELECT 'titles', title FROM sessions UNION ALL SELECT 'touches', value FROM UV)
         SELECT source, count(*) FILTER ({_LEAKY('text')} OR coalesce(regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), false)) AS n FROM AU GROUP BY source UNION ALL SELECT 'cleaned', 0""",
     "marker_hits": f"WITH {_SECRET} SELECT turn_id, {' + '.join(f'''CAST(regexp_matches(text, '{m}') AS INTEGER)''' for m in _MARKERS)} AS markers FROM SE",
@@ -288,17 +339,24 @@ SQL = {
     "tier_alarm_stream": _TIER,
     "thresholds": """WITH w AS (SELECT event_id, (user_id + 100) * 1000 AS w, CAST(value * 10000 AS BIGINT) AS t FROM events), e AS (SELECT event_id, CASE WHEN t > w THEN greatest(w, 1000000) ELSE w END AS w FROM w)
         SELECT event_id, CAST(floor(w * CAST(0.70 AS DOUBLE)) AS BIGINT) AS "full", greatest(CAST(floor(w * CAST(0.88 AS DOUBLE)) AS BIGINT), CAST(floor(w * CAST(0.70 AS DOUBLE)) AS BIGINT) + 1) AS quick FROM e""",
-    "cycle_start": f"WITH {_R}, {_DATED} SELECT file_id, round(coalesce(max(epoch) FILTER (is_boundary AND epoch < {AS_OF} - 600), min(epoch) - 1), 3) AS start FROM D WHERE epoch IS NOT NULL GROUP BY file_id",
+    "cycle_start": f"WITH {_R}, {_DATED} SELECT file_id, round(coalesce(max(epoch) FILTER (is_boundary AND epoch < {AS_OF} - 600), arg_min(epoch, line_no) - 1), 3) AS start FROM D WHERE epoch IS NOT NULL GROUP BY file_id",
     "delta_counts": f"WITH {_R}, {_DELTA} SELECT file_id, count(*) FILTER (type = 'user') AS users, count(*) FILTER (type = 'assistant') AS assistants FROM DE GROUP BY file_id",
-    "delta_files": f"""WITH {_R}, {_DELTA}, {_used('DE')}, LA AS (SELECT file_id, value, max(line_no) AS line_no FROM UV WHERE kind = 'file' GROUP BY file_id, value)
-        SELECT file_id, value, line_no FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC, value DESC) AS rn FROM LA) WHERE rn <= 40""",
-    "delta_messages": f"""WITH {_R}, {_DELTA}, SD AS (SELECT file_id, line_no, text, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC) AS rn FROM DE WHERE type = 'user' AND length(text) >= 2),
-        SU AS (SELECT *, sum(length(text)) OVER (PARTITION BY file_id ORDER BY line_no DESC ROWS UNBOUNDED PRECEDING) AS used FROM SD WHERE rn <= 25) SELECT file_id, line_no, text FROM SU WHERE used <= 600 OR rn <= 3""",
-    "delta_messages_full": f"""WITH {_R}, {_DELTA}, SD AS (SELECT file_id, line_no, text, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC) AS rn FROM DE WHERE type = 'user' AND length(text) >= 2),
-        SU AS (SELECT *, sum(length(text)) OVER (PARTITION BY file_id ORDER BY line_no DESC ROWS UNBOUNDED PRECEDING) AS used FROM SD WHERE rn <= 25) SELECT file_id, line_no, text FROM SU WHERE used <= {DELTA_MAX} OR rn <= 3""",
-    "delta_edits": f"""WITH {_R}, {_DELTA}, {_USES} SELECT file_id, tool, value, line_no, pos FROM (SELECT file_id, tool, value, p.line_no AS line_no, p.pos AS pos, row_number() OVER (PARTITION BY file_id ORDER BY p.line_no DESC, p.pos DESC) AS rn FROM ED) WHERE rn <= 40""",
-    "delta_commands": f"""WITH {_R}, {_DELTA}, {_USES}, LC AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_no DESC, pos DESC) AS rn FROM CM)
-        SELECT file_id, line_no, pos, CASE WHEN length(c) <= 300 THEN c ELSE substr(c, 1, 300) || ' ...[+' || (length(c) - 300) || ' chars]' END AS value FROM LC WHERE rn <= 30""",
+    "delta_files": f"WITH {_R}, {_DELTA}, {_USES} SELECT file_id, tool, value, line_no, pos FROM EL",
+    "delta_messages": f"""WITH {_R}, {_DELTA}, {_TYPED}, SU AS (SELECT *, sum(length(text)) OVER (PARTITION BY file_id ORDER BY line_no DESC ROWS UNBOUNDED PRECEDING) AS used FROM SD) SELECT file_id, line_no, text FROM SU WHERE used <= {DELTA_MAX} OR rn <= 3""",
+    "delta_commands": f"WITH {_R}, {_DELTA}, {_USES} SELECT * FROM CL",
+    "delta_report": f"""WITH {_R}, {_DELTA}, {_USES}, {_TYPED},
+        HE AS (SELECT file_id, 'After ' || strftime(make_timestamp(CAST(since * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M') || ': ' || count(*) || ' records' AS head FROM DE GROUP BY file_id, since),
+        AN AS (SELECT file_id, arg_max(b ->> '$.text', {{'l': line_no, 'p': pos}}) AS answer FROM B WHERE b ->> '$.type' = 'text' AND regexp_matches(b ->> '$.text', '[^\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]') GROUP BY file_id),
+        AR AS (SELECT file_id, {_shortened("a", 2500)} AS answer FROM (SELECT file_id, {_strip(_note_redacted("answer"))} AS a FROM AN)),
+        TA AS (SELECT file_id, head, coalesce((SELECT chr(10) || 'Files:' || chr(10) || string_agg('  ' || tool || ': ' || value, chr(10) ORDER BY line_no, pos) FROM EL WHERE EL.file_id = HE.file_id), '')
+                   || coalesce((SELECT chr(10) || 'Commands:' || chr(10) || string_agg('  $ ' || value, chr(10) ORDER BY line_no, pos) FROM CL WHERE CL.file_id = HE.file_id), '')
+                   || coalesce((SELECT chr(10) || 'Last answer:' || chr(10) || answer FROM AR WHERE AR.file_id = HE.file_id), '') AS tail FROM HE),
+        ME AS (SELECT file_id, line_no, rn, '  [' || strftime(make_timestamp(CAST(epoch * 1000000 AS BIGINT)), '%m-%d %H:%M') || '] ' || text AS line FROM SD),
+        MU AS (SELECT ME.*, sum(length(line) + 1) OVER (PARTITION BY file_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS used FROM ME),
+        MK AS (SELECT MU.* FROM MU JOIN TA USING (file_id) WHERE rn <= 3 OR used <= {DELTA_MAX} - length(head) - length(tail) - 10),
+        RE AS (SELECT file_id, (SELECT count(*) FROM MK WHERE MK.file_id = TA.file_id) AS n_messages,
+                      head || coalesce((SELECT chr(10) || 'Messages:' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) FROM MK WHERE MK.file_id = TA.file_id), '') || tail AS report FROM TA)
+        SELECT file_id, CAST(n_messages AS INTEGER) AS n_messages, CASE WHEN length(report) > {DELTA_MAX} THEN substr(report, 1, {DELTA_MAX}) || chr(10) || '[cut]' ELSE report END AS report FROM RE""",
     "note_selection": """WITH n AS (SELECT session_id, CAST(doc_id AS VARCHAR) AS path, doc_id AS mtime, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 1 WHEN doc_id % 2 = 0 THEN NULL ELSE 2 END AS priority FROM documents WHERE session_id IS NOT NULL)
         SELECT session_id, path, priority FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY priority, mtime DESC, path) AS rn FROM n WHERE priority IS NOT NULL) WHERE rn = 1""",
 }

@@ -60,18 +60,35 @@ def read_notes(spark: SparkSession, folders: list[str], pattern: str = "*/memory
     return rows.filter(~name.rlike(skip)).select("path", F.regexp_replace(name, r"\.md$", "").alias("stem"), "text", "size", "mtime")
 
 
+def _last_key_counts(spark: SparkSession) -> None:
+    """The one session setting the reader needs, as the parser takes it from nowhere else; a
+    session that sets it otherwise is told so rather than changed."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    held = spark.conf.get(name)
+    if held != "true":
+        if name in {k for k, _ in spark.sparkContext.getConf().getAll()}:
+            raise ValueError(f"records need {name}=true")
+        spark.conf.set(name, "true")
+
+
 def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def records(lines: DataFrame, keep: list[str]) -> DataFrame:
+def records(lines: DataFrame, keep: list[str], holding: str | None = None) -> DataFrame:
     """The lines that are JSON objects, typed, with the columns ``keep`` of the lines. Lines that
     are not finished, not valid or no objects are left out (problem 5 gives them with reasons).
-    Column content is the message content as a variant; of repeated keys the last counts."""
-    lines.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    # read inside brackets, so that anything after the object makes the line invalid
+    Column content is the message content as a variant; of repeated keys the last counts. With
+    holding only lines in which that text stands are parsed at all (a plain search before the
+    parse): for callers that need a key, as a record can't have it otherwise."""
+    _last_key_counts(lines.sparkSession)
+    if holding is not None:
+        lines = lines.filter(F.contains("raw", F.lit(holding)))
+    # read inside brackets, so that anything after the object makes the line invalid; exploded, so
+    # that the parse is a step of its own, which no filter is moved below of or computes again
     v = F.try_parse_json(F.concat(F.lit("["), F.col("raw"), F.lit("]")))
-    rows = lines.filter("has_newline").select(*keep, v.alias("v")).filter("v is not null and try_variant_get(v, '$[1]', 'variant') is null and schema_of_variant(try_variant_get(v, '$[0]', 'variant')) like 'OBJECT%'")
+    opens = F.ltrim(F.col("raw"), F.lit(" \t\n\r")).startswith("{")
+    rows = lines.filter(F.col("has_newline") & opens).select(*keep, F.explode(F.array(v)).alias("v")).filter("v is not null and try_variant_get(v, '$[1]', 'variant') is null")
     v = F.col("v")
     flag = lambda name: F.coalesce(_get(v, f"$[0].{name}", "boolean"), F.lit(False))
     return rows.select(
@@ -85,7 +102,7 @@ def records(lines: DataFrame, keep: list[str]) -> DataFrame:
         flag("isSidechain").alias("is_sidechain"),
         (flag("isMeta") | flag("isCompactSummary") | flag("isVisibleInTranscriptOnly")).alias("is_meta"),
         F.nullif(_get(v, "$[0].customTitle"), F.lit("")).alias("custom_title"),
-        F.nullif(F.coalesce(_get(v, "$[0].aiTitle"), _get(v, "$[0].agentName")), F.lit("")).alias("auto_title"),
+        F.nullif(F.when(_get(v, "$[0].type") == TITLE_TYPES[1], _get(v, "$[0].aiTitle")).when(_get(v, "$[0].type") == TITLE_TYPES[2], _get(v, "$[0].agentName")), F.lit("")).alias("auto_title"),
         _get(v, "$[0].subtype").alias("subtype"),
         _get(v, "$[0].message.role").alias("role"),
         _get(v, "$[0].message.content", "variant").alias("content"),

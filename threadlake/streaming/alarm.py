@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlake.functions.text import NOTE_REDACTIONS, redact, shorten
+from threadlake.storage import broadcast_if_bounded
+
 # Tiers as shares of the window, the larger window, and how long state lives.
 FULL_SHARE, QUICK_SHARE = 0.70, 0.88
 LARGE_WINDOW = 1_000_000
@@ -83,16 +86,17 @@ def stream_alarms(events: DataFrame, key: str, full: float, quick: float, ttl_da
     return keyed.groupBy("key").transformWithStateInPandas(Alarm(), "key bigint, event_id bigint, want int, mode string", "append", "none")
 
 
-def cycle_start(records: DataFrame, file: str, now: float, settle: float = 600.0) -> DataFrame:
+def cycle_start(records: DataFrame, file: str, now: float, settle: float = 600.0, line: str = "line_no") -> DataFrame:
     """(file, start): the latest compaction boundary older than settle seconds, else just before
-    the first dated record. records: file, epoch, is_boundary."""
+    the first dated record in the file. records: file, line, epoch, is_boundary."""
     old = F.col("is_boundary") & (F.col("epoch") < now - settle)
-    return records.filter("epoch is not null").groupBy(file).agg(F.coalesce(F.max(F.when(old, F.col("epoch"))), F.min("epoch") - 1).alias("start"))
+    first = F.min_by("epoch", line)
+    return records.filter("epoch is not null").groupBy(file).agg(F.coalesce(F.max(F.when(old, F.col("epoch"))), first - 1).alias("start"))
 
 
 def delta(records: DataFrame, file: str, since: DataFrame) -> DataFrame:
     """Main-thread records after each file's watermark (column since); undated ones are out."""
-    rows = records.join(since, file)
+    rows = records.join(broadcast_if_bounded(since), file)
     return rows.filter((F.col("epoch") > F.col("since")) & ~F.col("is_sidechain") & ~F.col("is_meta"))
 
 
@@ -109,6 +113,39 @@ def within_budget(rows: DataFrame, key: str, order: list[str], text: str, budget
     return rows.filter((F.col("__used") <= budget) | (F.col("__rn") <= least)).drop("__rn", "__used")
 
 
+def delta_report(messages: DataFrame, uses: DataFrame, counts: DataFrame, file: str, budget: int, n_messages: int = 25, n_files: int = 40, n_commands: int = 30, answer_chars: int = 2500, least: int = 3) -> DataFrame:
+    """(file, n_messages, report): per file one text of what came after the watermark: messages,
+    edited files, commands and the last answer, each the newest only. The oldest messages go first
+    until the text fits the budget, but some stay; then the text is cut hard. messages: file,
+    line_no, epoch, text; uses: see folds.delta_uses; counts: file, since, n_after. No group is
+    larger than the numbers kept."""
+    said = keep_last(messages, file, ["line_no"], n_messages).withColumn("line", F.concat(F.lit("  ["), F.date_format(F.timestamp_seconds("epoch"), "MM-dd HH:mm"), F.lit("] "), "text"))
+    edits = uses.filter("kind = 'edit'").groupBy(file, "tool", "value").agg(F.max(F.struct("line_no", "pos")).alias("at")).select(file, F.concat(F.lit("  "), "tool", F.lit(": "), "value").alias("line"), "at.line_no", "at.pos")
+    runs = uses.filter("kind = 'command'").select(file, F.concat(F.lit("  $ "), "value").alias("line"), "line_no", "pos")
+    order = ["line_no", "pos"]
+
+    def listed(rows: DataFrame, n: int, name: str) -> DataFrame:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, "line"))), lambda r: r["line"])
+        return keep_last(rows, file, order, n).groupBy(file).agg(lines.alias(name))
+
+    answers = uses.filter("kind = 'text'").groupBy(file).agg(F.max_by("value", F.struct(*order)).alias("answer"))
+    newest = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("line_no", "line")))), lambda r: r["line"])
+    per = counts.join(said.groupBy(file).agg(newest.alias("said")), file, "left").join(listed(edits, n_files, "edits"), file, "left").join(listed(runs, n_commands, "runs"), file, "left").join(answers, file, "left")
+    some = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(title), F.array_join(c, "\n"))).otherwise("")
+    head = F.concat(F.lit("After "), F.date_format(F.timestamp_seconds("since"), "yyyy-MM-dd HH:mm"), F.lit(": "), F.col("n_after").cast("string"), F.lit(" records"))
+    tail = F.concat(some("\nFiles:\n", F.col("edits")), some("\nCommands:\n", F.col("runs")), F.when(F.col("answer").isNotNull(), F.concat(F.lit("\nLast answer:\n"), shorten(redact(F.col("answer"), NOTE_REDACTIONS), answer_chars))).otherwise(""))
+    per = per.withColumn("head", head).withColumn("tail", tail).withColumn("said", F.coalesce("said", F.array().cast("array<string>")))
+    room = F.lit(budget) - F.length("head") - F.length("tail") - len("\nMessages:")
+    # the newest messages, while they fit or are among the few that always stay
+    taken = F.aggregate("said", F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept")), lambda a, m: F.when(
+        (F.size(a["kept"]) < least) | (a["used"] + F.length(m) + 1 <= room), F.struct((a["used"] + F.length(m) + 1).alias("used"), F.concat(a["kept"], F.array(m)).alias("kept"))
+    ).otherwise(F.struct(F.lit(1 << 30).alias("used"), a["kept"].alias("kept"))))
+    per = per.withColumn("kept", taken["kept"])
+    text = F.concat("head", some("\nMessages:\n", F.reverse("kept")), "tail")
+    cut = F.when(F.length(text) > budget, F.concat(F.substring(text, 1, budget), F.lit("\n[cut]"))).otherwise(text)
+    return per.select(file, F.size("kept").alias("n_messages"), cut.alias("report"))
+
+
 def stale(source: Column, note_mtime: Column, start: Column) -> Column:
     """Whether a note is older than the cycle that a compaction ended."""
     return (source == "compact") & (note_mtime < start)
