@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from threadlake.llm import prose, quality
 
@@ -26,7 +25,7 @@ def test_exact_ranks(spark):
 
 def test_statistics(spark):
     rows = [(1, "The cat, sat.\nNo end\n\n", "EN ", 0.0, "", ""), (2, None, None, 0.0, "", ""), (3, " \n", "en", 0.0, "", ""), (4, "De kat", "nl", 0.0, "", ""), (5, "a" * 1_000_000, "en", 0.0, "", "")]
-    lists = {"en": {"the", "no"}, "de": {"de"}}
+    lists = quality.word_lists(spark.createDataFrame([("en", "the"), ("EN ", "no"), ("de", "de"), ("de", None)], WORDS))
     got = {r.doc_id: r for r in quality.statistics(spark.createDataFrame(rows, DOCS), lists).collect()}
     assert (got[1].n_words, got[1].mean_word_length, got[1].line_end_share, got[1].common_share, got[1].lang) == (5, 2.8, 0.5, 0.4, "en")
     assert abs(got[1].symbol_ratio - 2 / 16) < 1e-12
@@ -79,20 +78,53 @@ def test_chunks_cover_the_text():
     long = "word " * 5000 + "\n> one. Two! three\n\n\t\n" + "x" * 50_000
     solid = sum(len(w) for p, _, _ in prose.chunks(long) for w in p.split())
     assert solid == sum(map(len, long.split())) - 1  # the mark at the line's beginning
-    assert prose.share(prose.encode("", set()), np.zeros(prose.DIMENSIONS + 1)) == 0.0
-
-
-def test_scores_are_sums_of_tails(spark):
-    rows, _ = corpus(3, 40)
-    stats = quality.statistics(spark.createDataFrame(rows, DOCS), {"en": {"the"}})
-    scores = {r.doc_id: r.score for r in quality.outlier_scores(stats.cache()).collect()}
-    table = [r for r in stats.collect()]
-    n, total = len(table), {}
-    for s, which in quality.TAILS.items():
-        values = [r[s] for r in table]
+    assert prose.shares(["", " \n"], prose.Words(frozenset()), np.zeros(prose.DIMENSIONS + 1)).tolist() == [0.0, 0.0]
+
+
+def test_a_batch_is_encoded_like_its_texts():
+    """Neither the other texts of a batch nor what was seen before changes a share."""
+    rng = np.random.default_rng(1)
+    texts = [t for _, t, *_ in corpus(5, 60)[0]] + ["", "a", "¿ü? 12:30\n\nx y. z", "same\n" * 7]
+    theta = rng.normal(size=prose.DIMENSIONS + 1)
+    words = prose.Words(frozenset(["the", "was"]))
+    whole = prose.shares(texts, words, theta)
+    assert np.allclose(whole, [prose.shares([t], prose.Words(frozenset(["the", "was"])), theta)[0] for t in texts])
+    held, prose.BATCH_CHARS = prose.BATCH_CHARS, 50
+    try:
+        assert np.allclose(whole, prose.shares(texts, words, theta))
+    finally:
+        prose.BATCH_CHARS = held
+    assert whole[-1] == 0.0  # repetition is no sentence
+
+
+def test_line_ends_are_looked_for_in_the_whole_line(spark):
+    rows = [(1, "A line." + " " * 80 + "\nopen" + "\u2028" * 3, "en", 0.0, "", ""), (2, 'He said "no."' + ")" * 100 + "\t", "en", 0.0, "", "")]
+    lists = quality.word_lists(spark.createDataFrame([], WORDS))
+    assert {r.doc_id: r.line_end_share for r in quality.statistics(spark.createDataFrame(rows, DOCS), lists).collect()} == {1: 0.5, 2: 1.0}
+
+
+def test_score_weights():
+    """The score follows the tail that tells, despite wrong labels."""
+    rng = np.random.default_rng(2)
+    x = rng.exponential(size=(600, len(quality.SCORED)))
+    other = (x[:, quality.SCORED.index("sentence_share_all")] > 1.5).astype(float)
+    wrong = rng.random(600) < 0.04
+    weights, threshold = quality.fit_score(x, np.where(wrong, 1 - other, other))
+    assert (weights >= 0).all() and (((x @ weights) >= threshold) == other).mean() > 0.98
+
+
+def test_scores_are_weighted_sums_of_tails(spark):
+    rows = [(k, t, "de" if k % 3 else lang, *more) for k, t, lang, *more in corpus(3, 40)[0]]
+    lists = quality.word_lists(spark.createDataFrame([("en", "the")], WORDS))
+    stats = quality.statistics(spark.createDataFrame(rows, DOCS), lists).cache()
+    weights = np.arange(1.0, len(quality.SCORED) + 1)
+    scores = {r.doc_id: r.score for r in quality.outlier_scores(quality.tails(stats), weights).collect()}
+    table, total = stats.collect(), {}
+    for k, c in enumerate(quality.SCORED):
+        s, scope = c.rsplit("_", 1)
         for r in table:
-            low, high = sum(v <= r[s] for v in values) / n, sum(v >= r[s] for v in values) / n
-            tail = {"low": low, "high": high, "both": min(1, 2 * min(low, high))}[which]
-            total[r.doc_id] = total.get(r.doc_id, 0) - np.log(tail)
-    assert all(abs(scores[k] - v) < 1e-6 for k, v in total.items())
-    assert stats.select(F.count("*")).first()[0] == 40
+            values = [x[s] for x in table if scope == "all" or x.lang == r.lang]
+            low, high = sum(v <= r[s] for v in values) / len(values), sum(v >= r[s] for v in values) / len(values)
+            tail = {"low": low, "high": high, "both": min(1, 2 * min(low, high))}[quality.TAILS[s]]
+            total[r.doc_id] = total.get(r.doc_id, 0) - weights[k] * np.log(tail)
+    assert all(abs(scores[k] - v) < 1e-6 for k, v in total.items()) and len(scores) == 40

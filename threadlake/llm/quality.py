@@ -6,38 +6,36 @@ fitted on a bounded sample of labelled documents). Every statistic is ranked exa
 language: rows are sorted by range partitions on (language, statistic, value, row), so that a
 language or a value that holds most rows is spread over tasks; ranks are local ranks plus the
 offsets of the partitions before, and values that run over partition borders are joined up. From
-the ranks come empirical-cumulative tail probabilities, combined into an outlier score. A document
-is reported as no prose if its score passes a threshold taken from the labelled sample and an exact
-look at its sentences confirms it.
+the ranks come empirical-cumulative tail probabilities, within the language and among all documents,
+and the outlier score is the weighted sum of minus their logarithms. The score alone decides: a
+document whose score reaches the threshold is no prose. Three quarters of the labelled sample fit
+the sentence model; weights (none negative) and threshold come from the quarter held back from it.
 
 Defined cases. Null, empty and blank texts have no words: statistics 0, never prose. A null
 language is the language "und"; languages are compared trimmed and in lower case. For a language
 without a word list all lists count. Repeated rows are documents of their own. Ties share a rank.
-Without any labelled document the model's weights are zero and only texts without sentence-like
-share (blank ones) are reported. Very long texts are measured whole. Empty tables give no rows.
+Without labelled documents of both kinds only blank texts are reported. Very long texts are measured whole. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.llm import prose
-from threadlake.llm.prose import encode, share
 from threadlake.storage import broadcast_if_bounded, materialize, spread
 
-#: Labelled documents used to fit the model, at most, and the longest of them that is used.
-MAX_LABELLED = 2_500
-MAX_LABELLED_CHARS = 200_000
-#: Most entries of the common-word table.
-MAX_COMMON = 100_000
-#: Share of labelled non-prose that may lie below the outlier threshold (raters err).
-MISSED = 0.002
+#: Labelled documents used to fit the model, at most, the longest of them that is used, and the
+#: characters of all of them together.
+MAX_LABELLED = 5_000
+MAX_LABELLED_CHARS = 100_000
+MAX_SAMPLE_CHARS = 10_000_000
+#: One in so many labelled documents is held back from the sentence model.
+HELD_BACK = 4
 #: Stands for all languages together.
 EVERY = "*"
 
@@ -45,73 +43,84 @@ STATS = ["n_words", "mean_word_length", "symbol_ratio", "line_end_share", "commo
 #: Which tail of a statistic speaks against prose.
 TAILS = {"mean_word_length": "both", "symbol_ratio": "high", "line_end_share": "low", "common_share": "low", "sentence_share": "low"}
 
-_SCHEMA = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), *[(s, pa.float64()) for s in STATS]])
-_DDL = "item bigint, doc_id bigint, lang string, " + ", ".join(f"{s} double" for s in STATS)
+SCOPES = ["lang", "all"]
+#: The tails a score is made of.
+SCORED = [f"{s}_{scope}" for s in TAILS for scope in SCOPES]
 
+_SCHEMA = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("blank", pa.bool_()), *[(s, pa.float64()) for s in STATS]])
+_DDL = "item bigint, doc_id bigint, lang string, blank boolean, " + ", ".join(f"{s} double" for s in STATS)
+_CLOSERS, _STOPS = "\"'»”)]", frozenset(".!?…")
 
-def word_lists(common_words: DataFrame) -> dict[str, set[str]]:
-    """The common words by language; a small table, its size is checked."""
-    rows = common_words.filter("word is not null").select(F.lower(F.trim("lang")), "word").distinct().limit(MAX_COMMON + 1).collect()
-    if len(rows) > MAX_COMMON:
-        raise ValueError(f"more than {MAX_COMMON} common words")
-    lists: dict[str, set[str]] = {}
-    for lang, word in rows:
-        lists.setdefault(lang, set()).add(word)
-    return lists
 
+def word_lists(common_words: DataFrame) -> DataFrame:
+    """(lang, words): the common words of each language, and of all together under EVERY."""
+    rows = common_words.filter("word is not null").select(F.coalesce(F.lower(F.trim("lang")), F.lit("und")).alias("lang"), "word")
+    return rows.unionByName(rows.withColumn("lang", F.lit(EVERY))).groupBy("lang").agg(F.array_sort(F.collect_set("word")).alias("words"))
 
-def _measure(lists: dict[str, set[str]], theta: np.ndarray | None):
-    """Arrow batches of (item, doc_id, lang, text) to statistics."""
-    every = set().union(*lists.values()) if lists else set()
+
+def _measure(theta: np.ndarray | None):
+    """Arrow batches of (item, doc_id, lang, text, its language's words, all words) to statistics.
+    A list of words is turned into a set once for as long as it stays the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex  # noqa: PLC0415
 
-        letters, symbols = regex.compile(r"\p{L}+"), regex.compile(r"[^\s\p{L}\p{N}]")
-        solid, end = regex.compile(r"\S"), regex.compile(r"[.!?…][\"'»”)\]]*\s*\Z")
+        letters, numerals = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+")
+        sets: dict[str, frozenset] = {}
+        known = None
         for b in batches:
+            texts = [t or "" for t in b.column(3).to_pylist()]
             rows = []
-            for lang, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                text = text or ""
+            for k, (lang, text) in enumerate(zip(b.column(2).to_pylist(), texts)):
+                if lang not in sets:
+                    sets[lang] = frozenset(b.column(4)[k].as_py() or ())
                 words = letters.findall(text)
-                known = lists.get(lang, every)
-                lines = [x for x in text.split("\n") if solid.search(x)]
-                n_solid = len(solid.findall(text))
+                n_letters = sum(map(len, words))
+                n_solid = sum(map(len, text.split()))
+                ends = [x.rstrip().rstrip(_CLOSERS)[-1:] for x in text.split("\n") if x and not x.isspace()]
+                n = len(words)
                 rows.append((
-                    float(len(words)),
-                    sum(map(len, words)) / len(words) if words else 0.0,
-                    len(symbols.findall(text)) / n_solid if n_solid else 0.0,
-                    sum(bool(end.search(x[-64:])) for x in lines) / len(lines) if lines else 0.0,
-                    sum(w.lower() in known for w in words) / len(words) if words else 0.0,
-                    share(encode(text, every), theta) if theta is not None else 0.0,
+                    float(n),
+                    n_letters / n if n else 0.0,
+                    (n_solid - n_letters - sum(map(len, numerals.findall(text)))) / n_solid if n_solid else 0.0,
+                    sum(map(_STOPS.__contains__, ends)) / len(ends) if ends else 0.0,
+                    sum(map(sets[lang].__contains__, map(str.lower, words))) / n if n else 0.0,
+                    not n_solid,
                 ))
-            columns = [pa.array(x, pa.float64()) for x in zip(*rows)] if rows else [pa.array([], pa.float64())] * len(STATS)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *columns], schema=_SCHEMA)
+            columns = [pa.array(x) for x in zip(*rows)] if rows else [pa.array([], pa.float64())] * 5 + [pa.array([], pa.bool_())]
+            sentences = np.zeros(len(texts))
+            if theta is not None and texts:
+                known = prose.Words(frozenset(b.column(5)[0].as_py() or ())) if known is None else known.fresh()
+                sentences = np.round(prose.shares(texts, known, theta), 9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), columns[5], *columns[:5], pa.array(sentences, pa.float64())], schema=_SCHEMA)
 
     return run
 
 
-def statistics(documents: DataFrame, lists: dict[str, set[str]], theta: np.ndarray | None = None) -> DataFrame:
-    """One row of statistics per document row."""
+def statistics(documents: DataFrame, lists: DataFrame, theta: np.ndarray | None = None) -> DataFrame:
+    """One row of statistics per document row. lists: see ``word_lists``."""
     lang = F.coalesce(F.lower(F.trim("lang")), F.lit("und"))
+    every = broadcast_if_bounded(lists.filter(F.col("lang") == EVERY).select(F.col("words").alias("every")), 1)
+    own = broadcast_if_bounded(lists.filter(F.col("lang") != EVERY), 1_000)
     rows = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), "text"))
-    return rows.select(F.monotonically_increasing_id().alias("item"), "doc_id", "lang", "text").mapInArrow(_measure(lists, theta), _DDL)
+    rows = rows.join(own, "lang", "left").join(every, F.lit(True), "left")
+    return rows.select(F.monotonically_increasing_id().alias("item"), "doc_id", "lang", "text", F.coalesce("words", "every"), "every").mapInArrow(_measure(theta), _DDL)
 
 
 def labelled_sample(documents: DataFrame, doc_labels: DataFrame, most: int = MAX_LABELLED) -> list:
-    """(doc_id, prose share of its labels, text) of at most ``most`` labelled documents, chosen by
-    a hash of the id."""
+    """(doc_id, prose share of its labels, text) of at most ``most`` labelled documents, in the
+    order of a hash of the id, up to MAX_SAMPLE_CHARS characters."""
     votes = doc_labels.filter("label is not null and doc_id is not null").groupBy("doc_id").agg(F.avg((F.lower(F.trim("label")) == "prose").cast("double")).alias("prose"))
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.length("text") <= MAX_LABELLED_CHARS)
-    return texts.groupBy("doc_id", "prose").agg(F.max("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    texts = texts.groupBy("doc_id", "prose").agg(F.max("text").alias("text")).withColumn("h", F.xxhash64("doc_id"))
+    upto = F.sum(F.length("text")).over(Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # of the sample only
+    return texts.withColumn("upto", upto).filter(F.col("upto") <= MAX_SAMPLE_CHARS).orderBy("h", "doc_id").select("doc_id", "prose", "text").collect()
 
 
-def fit_prose(labelled: list, lists: dict[str, set[str]]) -> np.ndarray:
-    if not labelled:
-        return np.zeros(prose.DIMENSIONS + 1)
-    common = set().union(*lists.values()) if lists else set()
-    return prose.fit([r.text for r in labelled], np.array([r.prose for r in labelled]), common)
+def fit_prose(labelled: list, common: set[str]) -> np.ndarray:
+    coded = prose.encode([r.text for r in labelled], prose.Words(frozenset(common)))
+    return prose.fit(coded, np.array([float(r.prose) for r in labelled]))
 
 
 def exact_ranks(rows: DataFrame, groups: list[str], value: str, row: str) -> DataFrame:
@@ -153,31 +162,89 @@ def ranks(stats: DataFrame, names: list[str]) -> DataFrame:
     return exact_ranks(long, ["lang", "stat"], "value", "item")
 
 
-def outlier_scores(stats: DataFrame) -> DataFrame:
-    """(item, doc_id, score): sum over the statistics of minus the logarithm of the tail
-    probability, that is the share of documents at least as extreme, among those of the language
-    or among all, whichever is less: a language of few documents, or of much junk, says little."""
+def tails(stats: DataFrame) -> DataFrame:
+    """(item, doc_id, blank, SCORED...): of each statistic minus the logarithm of the tail
+    probability, that is the share of documents at least as extreme, within the document's language
+    and among all."""
     low, high = F.col("n_upto") / F.col("n_group"), (F.col("n_group") - F.col("n_below")) / F.col("n_group")
     tail = F.lit(None).cast("double")
     for s, which in TAILS.items():
         t = {"low": low, "high": high, "both": F.least(F.lit(1.0), 2 * F.least(low, high))}[which]
         tail = F.when(F.col("stat") == s, t).otherwise(tail)
     both = stats.withColumn("lang", F.explode(F.array("lang", F.lit(EVERY))))
-    least = ranks(both, list(TAILS)).withColumn("tail", tail).groupBy("item", "doc_id", "stat").agg(F.min("tail").alias("tail"))
-    return least.groupBy("item", "doc_id").agg(F.round(F.sum(-F.log("tail")), 9).alias("score"))
-
-
-def not_prose(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(doc_id, score, sentence_share) of the documents that are not running prose."""
-    lists = word_lists(common_words)
+    ranked = ranks(both, list(TAILS)).select("item", F.when(F.col("lang") == EVERY, F.concat("stat", F.lit("_all"))).otherwise(F.concat("stat", F.lit("_lang"))).alias("tail_of"), F.round(-F.log(tail), 9).alias("t"))
+    wide = ranked.groupBy("item").agg(*[F.max(F.when(F.col("tail_of") == c, F.col("t"))).alias(c) for c in SCORED])
+    return stats.select("item", "doc_id", "blank").join(wide, "item")
+
+
+def fit_score(x: np.ndarray, other: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """(weights, threshold): of a logistic regression of labels (share of raters that say it is no
+    prose) on tails, no weight negative, both kinds of labels weighing alike; by Newton steps on
+    the weights that are not held at zero. The threshold is the one with the fewest labels wrong."""
+    n, d = x.shape
+    a = np.column_stack([x, np.ones(n)])
+    kinds = max((other >= 0.5).sum(), 1), max((other < 0.5).sum(), 1)
+    weigh = np.where(other >= 0.5, 0.5 * n / kinds[0], 0.5 * n / kinds[1])
+    y, w = 0.02 + 0.96 * other, np.zeros(d + 1)
+    w[SCORED.index("sentence_share_all")] = 1.0
+    free = np.ones(d + 1, bool)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        g = a.T @ (weigh * (p - y)) / n + ridge * w
+        free[:d] = (w[:d] > 0) | (g[:d] < 0)
+        h = (a[:, free].T * (weigh * np.maximum(p * (1 - p), 1e-3))) @ a[:, free] / n + ridge * np.eye(free.sum())
+        step = np.zeros(d + 1)
+        step[free] = np.linalg.solve(h, g[free])
+        w = w - np.clip(step, -5, 5)
+        w[:d] = np.maximum(w[:d], 0)
+    score = x @ w[:d]
+    order = np.argsort(score, kind="stable")
+    wrong = np.concatenate([[0], np.cumsum(other[order])]) + np.concatenate([np.cumsum((1 - other[order])[::-1])[::-1], [0]])
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
+    at = best[np.argmin(np.abs(np.append(score[order], np.inf)[best] + w[d]))]  # of several the closest to the regression's own
+    edges = np.concatenate([[score[order[0]] - 1], score[order], [score[order[-1]] + 1]])
+    return w[:d], float((edges[at] + edges[at + 1]) / 2)
+
+
+def outlier_scores(table: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(item, doc_id, blank, score): the weighted sum of the tails."""
+    score: Column = sum((F.col(c) * float(w) for c, w in zip(SCORED, weights)), F.lit(0.0))
+    return table.select("item", "doc_id", "blank", F.round(score, 9).alias("score"))
+
+
+def scored(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame) -> tuple[DataFrame, float | None, list]:
+    """(item, doc_id, blank, score) of every document, the threshold (None without labels of both
+    kinds), and the ids and labels that weights and threshold come from."""
+    lists, _ = materialize(word_lists(common_words), "words")
     labelled = labelled_sample(documents, doc_labels)
-    theta = fit_prose(labelled, lists)
+    held = [r for k, r in enumerate(labelled) if k % HELD_BACK == 0]
+    taught = [r for k, r in enumerate(labelled) if k % HELD_BACK]
+    kinds = {r.prose >= 0.5 for r in taught}, {r.prose >= 0.5 for r in held}
+    if kinds != ({True, False}, {True, False}):
+        rows = statistics(documents, lists)
+        return rows.select("item", "doc_id", "blank", F.lit(0.0).alias("score")), None, []
+    common = lists.filter(F.col("lang") == EVERY).select(F.explode("words")).collect() if labelled else []
+    theta = fit_prose(taught, {r[0] for r in common})
     stats, _ = materialize(statistics(documents, lists, theta), "stats")
-    scores, _ = materialize(outlier_scores(stats), "scores")
+    table, _ = materialize(tails(stats), "tails")
     spark = documents.sparkSession
-    other = spark.createDataFrame([(r.doc_id,) for r in labelled if r.prose < 0.5], "doc_id bigint")
-    known = sorted(r.score for r in scores.join(F.broadcast(other), "doc_id", "left_semi").select("score").limit(2 * MAX_LABELLED).collect())
-    threshold = known[math.floor(MISSED * len(known))] if known else 0.0
-    outliers = scores.filter((F.col("score") >= threshold))
-    checked = stats.filter("sentence_share < 0.5").select("item", "sentence_share")
-    return outliers.join(checked, "item").select("doc_id", "score", "sentence_share")
+    votes = spark.createDataFrame([(r.doc_id, r.prose) for r in held], "doc_id bigint, prose double")
+    known = table.join(F.broadcast(votes), "doc_id").groupBy("doc_id", "prose").agg(*[F.avg(c).alias(c) for c in SCORED]).orderBy("doc_id").collect()
+    weights, threshold = fit_score(np.array([[r[c] for c in SCORED] for r in known]), np.array([1 - r.prose for r in known]))
+    return outlier_scores(table, weights), threshold, known
+
+
+def not_prose(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame) -> DataFrame:
+    """(doc_id, score) of the documents that are not running prose: those whose outlier score
+    reaches the threshold, and blank ones."""
+    scores, threshold, _ = scored(documents, doc_labels, common_words)
+    out = F.col("blank") if threshold is None else F.col("blank") | (F.col("score") >= threshold)
+    return scores.filter(out).select("doc_id", "score")
+
+
+def agreement(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame) -> DataFrame:
+    """(kind, labels, right) over all labels of documents that two raters or more agree on."""
+    votes = doc_labels.filter("label is not null").groupBy("doc_id").agg(F.avg((F.lower(F.trim("label")) == "prose").cast("double")).alias("prose"), F.count("*").alias("n")).filter("n > 1 and prose in (0, 1)")
+    found = not_prose(documents, doc_labels, common_words).select("doc_id").distinct().withColumn("found", F.lit(True))
+    both = votes.join(found, "doc_id", "left").withColumn("right", F.coalesce("found", F.lit(False)) == (F.col("prose") == 0))
+    return both.groupBy(F.when(F.col("prose") == 1, "prose").otherwise("other").alias("kind")).agg(F.count("*").alias("labels"), F.count_if("right").alias("right"))

@@ -59,6 +59,12 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"), quality.word_lists(table(spark, d, "common_words")))
 
 
+def p8_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the result meets 17 in 20 of the labels that raters agree on, of either kind."""
+    got = quality.agreement(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "common_words"))
+    return got.select("kind", "labels", (F.col("right") * 20 >= F.col("labels") * 17).alias("met"))
+
+
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every document, without the fitted one."""
     return _stats(spark, d).select("doc_id", "lang", F.col("n_words").cast("bigint").alias("n_words"), *[F.round(s, 9).alias(s) for s in _PLAIN[1:]])
@@ -72,7 +78,7 @@ def p8_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 _PLAIN = ["n_words", "mean_word_length", "symbol_ratio", "line_end_share", "common_share"]
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_conversations, p6_pack, p6_fill, p6_invariants, p7_selection, p7_shares, p7_invariants, p7_soft_shares, p8_found, p8_stats, p8_ranks)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_conversations, p6_pack, p6_fill, p6_invariants, p7_selection, p7_shares, p7_invariants, p7_soft_shares, p8_found, p8_agreement, p8_stats, p8_ranks)}
 
 _INSTANT = r"'(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)'"
 _BLANK = r"[\s\p{Z}\x{85}\x1c-\x1f]"
@@ -118,6 +124,8 @@ SQL = {
                    FROM mix_targets WHERE mix_name IS NOT NULL AND weight > 0 GROUP BY ALL)
         SELECT mix_name, source, round(weight / sum(weight) OVER (PARTITION BY mix_name), 6) AS due_share, true AS reached, true AS capped
         FROM t WHERE cap > 0 AND source IN (SELECT source FROM k WHERE length(text) > 0)""",
+    "p8_agreement": """SELECT CASE WHEN prose = 1 THEN 'prose' ELSE 'other' END AS kind, count(*) AS labels, true AS met
+        FROM (SELECT doc_id, avg(CAST(lower(trim(label)) = 'prose' AS INTEGER)) AS prose, count(*) AS n FROM doc_labels WHERE label IS NOT NULL GROUP BY doc_id) WHERE n > 1 AND prose IN (0, 1) GROUP BY 1""",
     "p8_stats": _STATS + """
         SELECT doc_id, lang, n_words, round(mean_word_length, 9) AS mean_word_length, round(symbol_ratio, 9) AS symbol_ratio,
                round(line_end_share, 9) AS line_end_share, round(common_share, 9) AS common_share FROM s""",
