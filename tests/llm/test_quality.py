@@ -103,28 +103,30 @@ def test_line_ends_are_looked_for_in_the_whole_line(spark):
     assert {r.doc_id: r.line_end_share for r in quality.statistics(spark.createDataFrame(rows, DOCS), lists).collect()} == {1: 0.5, 2: 1.0}
 
 
-def test_score_weights():
-    """The score follows the tail that tells, despite wrong labels."""
+def test_threshold():
+    """It lies in the gap between the kinds, despite wrong labels far from it and one close by."""
     rng = np.random.default_rng(2)
-    x = rng.exponential(size=(600, len(quality.SCORED)))
-    other = (x[:, quality.SCORED.index("sentence_share_all")] > 1.5).astype(float)
-    wrong = rng.random(600) < 0.04
-    weights, threshold = quality.fit_score(x, np.where(wrong, 1 - other, other))
-    assert (weights >= 0).all() and (((x @ weights) >= threshold) == other).mean() > 0.98
+    score = np.concatenate([rng.uniform(0, 1.3, 800), rng.uniform(1.6, 9, 300)])
+    other = (score > 1.5).astype(float)
+    wrong = rng.random(1100) < 0.04
+    noisy = np.where(wrong, 1 - other, other)
+    noisy[np.argmin(np.abs(score - 1.3))] = 1.0
+    assert 1.3 <= quality.fit_threshold(score, noisy) <= 1.61
+    assert quality.fit_threshold(np.array([0.0, 2.0]), np.array([0.0, 1.0])) == 1.0
 
 
 def test_scores_are_weighted_sums_of_tails(spark):
     rows = [(k, t, "de" if k % 3 else lang, *more) for k, t, lang, *more in corpus(3, 40)[0]]
     lists = quality.word_lists(spark.createDataFrame([("en", "the")], WORDS))
     stats = quality.statistics(spark.createDataFrame(rows, DOCS), lists).cache()
-    weights = np.arange(1.0, len(quality.SCORED) + 1)
+    weights = {c: k + 1.0 for k, c in enumerate(quality.SCORED)}
     scores = {r.doc_id: r.score for r in quality.outlier_scores(quality.tails(stats), weights).collect()}
     table, total = stats.collect(), {}
-    for k, c in enumerate(quality.SCORED):
+    for c in quality.SCORED:
         s, scope = c.rsplit("_", 1)
         for r in table:
             values = [x[s] for x in table if scope == "all" or x.lang == r.lang]
             low, high = sum(v <= r[s] for v in values) / len(values), sum(v >= r[s] for v in values) / len(values)
             tail = {"low": low, "high": high, "both": min(1, 2 * min(low, high))}[quality.TAILS[s]]
-            total[r.doc_id] = total.get(r.doc_id, 0) - weights[k] * np.log(tail)
+            total[r.doc_id] = total.get(r.doc_id, 0) - weights[c] * np.log(tail)
     assert all(abs(scores[k] - v) < 1e-6 for k, v in total.items()) and len(scores) == 40

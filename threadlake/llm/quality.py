@@ -8,8 +8,9 @@ language or a value that holds most rows is spread over tasks; ranks are local r
 offsets of the partitions before, and values that run over partition borders are joined up. From
 the ranks come empirical-cumulative tail probabilities, within the language and among all documents,
 and the outlier score is the weighted sum of minus their logarithms. The score alone decides: a
-document whose score reaches the threshold is no prose. Three quarters of the labelled sample fit
-the sentence model; weights (none negative) and threshold come from the quarter held back from it.
+document whose score reaches the threshold is no prose. The tail of the share of sentences weighs
+most, the others tip the balance where it says little. Three quarters of the labelled sample fit the
+sentence model; the threshold comes from the quarter held back from it.
 
 Defined cases. Null, empty and blank texts have no words: statistics 0, never prose. A null
 language is the language "und"; languages are compared trimmed and in lower case. For a language
@@ -46,6 +47,9 @@ TAILS = {"mean_word_length": "both", "symbol_ratio": "high", "line_end_share": "
 SCOPES = ["lang", "all"]
 #: The tails a score is made of.
 SCORED = [f"{s}_{scope}" for s in TAILS for scope in SCOPES]
+WEIGHTS = {c: 1.0 if c == "sentence_share_all" else 0.0 if c == "sentence_share_lang" else 0.0025 for c in SCORED}
+#: Share of labels more than the fewest that a threshold may get wrong.
+TOLERATED = 0.003
 
 _SCHEMA = pa.schema([("item", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("blank", pa.bool_()), *[(s, pa.float64()) for s in STATS]])
 _DDL = "item bigint, doc_id bigint, lang string, blank boolean, " + ", ".join(f"{s} double" for s in STATS)
@@ -177,44 +181,27 @@ def tails(stats: DataFrame) -> DataFrame:
     return stats.select("item", "doc_id", "blank").join(wide, "item")
 
 
-def fit_score(x: np.ndarray, other: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """(weights, threshold): of a logistic regression of labels (share of raters that say it is no
-    prose) on tails, no weight negative, both kinds of labels weighing alike; by Newton steps on
-    the weights that are not held at zero. The threshold is the one with the fewest labels wrong."""
-    n, d = x.shape
-    a = np.column_stack([x, np.ones(n)])
-    kinds = max((other >= 0.5).sum(), 1), max((other < 0.5).sum(), 1)
-    weigh = np.where(other >= 0.5, 0.5 * n / kinds[0], 0.5 * n / kinds[1])
-    y, w = 0.02 + 0.96 * other, np.zeros(d + 1)
-    w[SCORED.index("sentence_share_all")] = 1.0
-    free = np.ones(d + 1, bool)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (weigh * (p - y)) / n + ridge * w
-        free[:d] = (w[:d] > 0) | (g[:d] < 0)
-        h = (a[:, free].T * (weigh * np.maximum(p * (1 - p), 1e-3))) @ a[:, free] / n + ridge * np.eye(free.sum())
-        step = np.zeros(d + 1)
-        step[free] = np.linalg.solve(h, g[free])
-        w = w - np.clip(step, -5, 5)
-        w[:d] = np.maximum(w[:d], 0)
-    score = x @ w[:d]
+def fit_threshold(score: np.ndarray, other: np.ndarray) -> float:
+    """The score from which on a document is no prose, from labelled ones (other: share of raters
+    that say it is none). Of the cuts with the fewest labels wrong, or TOLERATED of all labels more,
+    as raters err, the one in the widest gap between scores."""
     order = np.argsort(score, kind="stable")
-    wrong = np.concatenate([[0], np.cumsum(other[order])]) + np.concatenate([np.cumsum((1 - other[order])[::-1])[::-1], [0]])
-    best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
-    at = best[np.argmin(np.abs(np.append(score[order], np.inf)[best] + w[d]))]  # of several the closest to the regression's own
-    edges = np.concatenate([[score[order[0]] - 1], score[order], [score[order[-1]] + 1]])
-    return w[:d], float((edges[at] + edges[at + 1]) / 2)
+    s, right = score[order], other[order]
+    wrong = np.cumsum(right)[:-1] + (1 - right).sum() - np.cumsum(1 - right)[:-1]
+    good = np.flatnonzero(wrong <= wrong.min() + TOLERATED * len(s))
+    k = good[int(np.argmax(s[good + 1] - s[good]))]
+    return float((s[k] + s[k + 1]) / 2)
 
 
-def outlier_scores(table: DataFrame, weights: np.ndarray) -> DataFrame:
+def outlier_scores(table: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(item, doc_id, blank, score): the weighted sum of the tails."""
-    score: Column = sum((F.col(c) * float(w) for c, w in zip(SCORED, weights)), F.lit(0.0))
+    score: Column = sum((F.col(c) * float(w) for c, w in (weights or WEIGHTS).items()), F.lit(0.0))
     return table.select("item", "doc_id", "blank", F.round(score, 9).alias("score"))
 
 
 def scored(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame) -> tuple[DataFrame, float | None, list]:
     """(item, doc_id, blank, score) of every document, the threshold (None without labels of both
-    kinds), and the ids and labels that weights and threshold come from."""
+    kinds), and the labelled scores that it comes from."""
     lists, _ = materialize(word_lists(common_words), "words")
     labelled = labelled_sample(documents, doc_labels)
     held = [r for k, r in enumerate(labelled) if k % HELD_BACK == 0]
@@ -226,12 +213,10 @@ def scored(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame)
     common = lists.filter(F.col("lang") == EVERY).select(F.explode("words")).collect() if labelled else []
     theta = fit_prose(taught, {r[0] for r in common})
     stats, _ = materialize(statistics(documents, lists, theta), "stats")
-    table, _ = materialize(tails(stats), "tails")
-    spark = documents.sparkSession
-    votes = spark.createDataFrame([(r.doc_id, r.prose) for r in held], "doc_id bigint, prose double")
-    known = table.join(F.broadcast(votes), "doc_id").groupBy("doc_id", "prose").agg(*[F.avg(c).alias(c) for c in SCORED]).orderBy("doc_id").collect()
-    weights, threshold = fit_score(np.array([[r[c] for c in SCORED] for r in known]), np.array([1 - r.prose for r in known]))
-    return outlier_scores(table, weights), threshold, known
+    scores, _ = materialize(outlier_scores(tails(stats)), "scores")
+    votes = documents.sparkSession.createDataFrame([(r.doc_id, r.prose) for r in held], "doc_id bigint, prose double")
+    known = scores.join(F.broadcast(votes), "doc_id").groupBy("doc_id", "prose").agg(F.max("score").alias("score")).orderBy("doc_id").collect()
+    return scores, fit_threshold(np.array([r.score for r in known]), np.array([1 - r.prose for r in known])), known
 
 
 def not_prose(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame) -> DataFrame:
@@ -243,8 +228,9 @@ def not_prose(documents: DataFrame, doc_labels: DataFrame, common_words: DataFra
 
 
 def agreement(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame) -> DataFrame:
-    """(kind, labels, right) over all labels of documents that two raters or more agree on."""
+    """(labels, right): documents that two raters or more agree on, and for how many the result
+    agrees with them."""
     votes = doc_labels.filter("label is not null").groupBy("doc_id").agg(F.avg((F.lower(F.trim("label")) == "prose").cast("double")).alias("prose"), F.count("*").alias("n")).filter("n > 1 and prose in (0, 1)")
     found = not_prose(documents, doc_labels, common_words).select("doc_id").distinct().withColumn("found", F.lit(True))
     both = votes.join(found, "doc_id", "left").withColumn("right", F.coalesce("found", F.lit(False)) == (F.col("prose") == 0))
-    return both.groupBy(F.when(F.col("prose") == 1, "prose").otherwise("other").alias("kind")).agg(F.count("*").alias("labels"), F.count_if("right").alias("right"))
+    return both.agg(F.count("*").alias("labels"), F.count_if("right").alias("right"))

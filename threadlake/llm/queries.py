@@ -60,9 +60,9 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the result meets 17 in 20 of the labels that raters agree on, of either kind."""
+    """Whether the result meets 17 in 20 of the labels that raters agree on."""
     got = quality.agreement(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "common_words"))
-    return got.select("kind", "labels", (F.col("right") * 20 >= F.col("labels") * 17).alias("met"))
+    return got.select("labels", (F.col("right") * 20 >= F.col("labels") * 17).alias("met"))
 
 
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +124,8 @@ SQL = {
                    FROM mix_targets WHERE mix_name IS NOT NULL AND weight > 0 GROUP BY ALL)
         SELECT mix_name, source, round(weight / sum(weight) OVER (PARTITION BY mix_name), 6) AS due_share, true AS reached, true AS capped
         FROM t WHERE cap > 0 AND source IN (SELECT source FROM k WHERE length(text) > 0)""",
-    "p8_agreement": """SELECT CASE WHEN prose = 1 THEN 'prose' ELSE 'other' END AS kind, count(*) AS labels, true AS met
-        FROM (SELECT doc_id, avg(CAST(lower(trim(label)) = 'prose' AS INTEGER)) AS prose, count(*) AS n FROM doc_labels WHERE label IS NOT NULL GROUP BY doc_id) WHERE n > 1 AND prose IN (0, 1) GROUP BY 1""",
+    "p8_agreement": """SELECT count(*) AS labels, true AS met FROM (SELECT doc_id FROM doc_labels WHERE label IS NOT NULL GROUP BY doc_id
+        HAVING count(*) > 1 AND avg(CAST(lower(trim(label)) = 'prose' AS INTEGER)) IN (0, 1))""",
     "p8_stats": _STATS + """
         SELECT doc_id, lang, n_words, round(mean_word_length, 9) AS mean_word_length, round(symbol_ratio, 9) AS symbol_ratio,
                round(line_end_share, 9) AS line_end_share, round(common_share, 9) AS common_share FROM s""",
