@@ -3,7 +3,9 @@ import datetime
 import pytest
 
 from threadlake.operators import incremental as inc
+from threadlake.operators import ingest
 from threadlake.operators.incremental import VersionedTarget
+from threadlake.sources import ranges
 from threadlake.storage import shared_dir
 
 DAY = datetime.datetime(2026, 1, 1)
@@ -85,3 +87,54 @@ def test_failed_and_competing_runs(spark, monkeypatch):
         target.publish(source(spark, [("b", 1, "y")]), 0)
     assert [r.body for r in target.read().collect()] == ["x"]
     assert target.pending(rows).count() == 0
+
+
+def test_ranges_own_the_lines_that_begin_in_them(spark, tmp_path):
+    """Every split of a file, also inside lines and characters, gives the same lines and numbers."""
+    text = "a\n\nbcd\r\nüüü\n" + "x" * 50 + "\nlast\ntail"
+    (tmp_path / "f.log").write_bytes(text.encode())
+    (tmp_path / "g.log").write_bytes(b"")
+    (tmp_path / "h.log").write_bytes(b"\n\n")
+    want, at = [], 0
+    for n, x in enumerate(text.split("\n"), 1):
+        size = len(x.encode())
+        want.append((n, at, at + size + (x != "tail"), x, x != "tail"))
+        at += size + 1
+    files = ranges.listing(spark, [f"{tmp_path}/*.log"])
+    plan = files.selectExpr("path", "size", "cast(0 as bigint) from_offset", "cast(0 as bigint) from_line")
+    for size in (1, 2, 3, 5, 7, 20, 1000):
+        got = ranges.read_ranges(plan, size).collect()
+        assert sorted(tuple(r)[1:] for r in got if r.path.endswith("f.log")) == want
+        assert sorted(tuple(r)[1:] for r in got if r.path.endswith("h.log")) == [(1, 0, 1, "", True), (2, 1, 2, "", True)] and not [r for r in got if r.path.endswith("g.log")]
+    rest = plan.filter("path like '%f.log'").withColumn("from_offset", plan["from_offset"] + 3).withColumn("from_line", plan["from_line"] + 2)
+    assert sorted(tuple(r)[1:] for r in ranges.read_ranges(rest, 4).collect()) == want[2:]
+
+
+def test_runs_over_files(spark, tmp_path):
+    target = VersionedTarget(spark, f"{shared_dir(spark)}/target-c")
+    load = lambda **more: ingest.run(target, ranges.listing(spark, [f"{tmp_path}/*.log"]), range_bytes=4, **more)
+    held = lambda: sorted((r.path[-5], r.line_no, r.raw) for r in target.read().collect())
+    (tmp_path / "a.log").write_bytes(b"one\ntwo\nthr")
+    (tmp_path / "b.log").write_bytes(b"unfinished")
+    assert load() == 1 and held() == [("a", 1, "one"), ("a", 2, "two")]
+    (tmp_path / "a.log").write_bytes(b"one\ntwo\nthree\n")
+    with pytest.raises(InterruptedError):
+        load(before_publish=lambda: (_ for _ in ()).throw(InterruptedError()))
+    assert target.version() == 1 and len(held()) == 2
+    assert load() == 2 and held() == [("a", 1, "one"), ("a", 2, "two"), ("a", 3, "three")]
+    base = target.version()
+    (tmp_path / "b.log").write_bytes(b"unfinished\nno more\n")
+    assert load() == 3 and len(held()) == 5
+    with pytest.raises(RuntimeError):  # a run that began before the last publish
+        target.publish(target.read(base), base)
+    (tmp_path / "a.log").write_bytes(b"ONE\n")
+    assert load() == 4 and held() == [("a", 1, "ONE"), ("b", 1, "unfinished"), ("b", 2, "no more")]
+    (tmp_path / "b.log").write_bytes(b"x")
+    assert load() == 5 and held() == [("a", 1, "ONE")]  # rewritten to an unfinished line: its rows are retired
+    forgotten = spark.createDataFrame([(str(r.path),) for r in ranges.listing(spark, [f"{tmp_path}/a.log"]).collect()], "path string")
+    (tmp_path / "a.log").write_bytes(b"ONE\nTWO\n")
+    assert load(tombstones=forgotten) in (5, 6) and held() == [("a", 1, "ONE")]
+    before = target.version()
+    assert target.compact() == before + 1 and held() == [("a", 1, "ONE")] and len(target._manifest(before + 1)) == 1
+    assert len(target.vacuum()) == 1 and held() == [("a", 1, "ONE")]  # the folder of the refused publish
+    assert load() == before + 2 and held() == [("a", 1, "ONE"), ("a", 2, "TWO")]

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import text as X
 from threadlake.functions.instants import is_instant
-from threadlake.operators import catalog, folds, maintain, search, vectors
-from threadlake.operators.incremental import good_positions, present_files
+from threadlake.operators import catalog, folds, ingest, maintain, search, vectors
+from threadlake.operators.incremental import VersionedTarget, good_positions, present_files
 from threadlake.plans.log_sql import AS_OF, DELTA_MAX, FALLBACK, LINT, NOTE_QUERY, PHRASES, QUERY, SHORT, SQL
+from threadlake.sources.ranges import listing
 from threadlake.sources.tables import table
 from threadlake.sources.transcripts import blocks_text, records, split_files
 from threadlake.storage import broadcast_if_bounded, shared_dir, spread
@@ -341,13 +342,59 @@ def memory_parse(spark, d):
     return table(spark, d, "documents").select("doc_id", maintain.parse_note(F.col("text"), F.concat(F.lit("doc-"), F.col("doc_id"))).alias("n")).select("doc_id", "n.*")
 
 
+def write_logs(lines: DataFrame, folder: str) -> None:
+    """Lines (file_id, line_no, raw, has_newline) as one log file per file_id below the folder."""
+    text = F.concat(F.coalesce("raw", F.lit("")), F.when(F.col("has_newline"), "\n").otherwise(""))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", text.alias("t")))), lambda r: r["t"]), "")
+
+    def write(batches):
+        from pyarrow import fs  # noqa: PLC0415
+
+        for b in batches:
+            for k, body in zip(*[c.to_pylist() for c in b.columns]):
+                system, path = fs.FileSystem.from_uri(f"{folder}/f{k}/log.jsonl")
+                system.create_dir(path.rsplit("/", 1)[0])
+                with system.open_output_stream(path) as out:
+                    out.write(body.encode())
+            yield b.slice(0, 0)
+
+    lines.filter("file_id is not null").groupBy("file_id").agg(content.alias("body")).mapInArrow(write, "file_id bigint, body string").count()
+
+
 def ingest_roundtrip(spark, d):
-    """The finished lines written as JSON Lines files and read again."""
+    """The lines written as JSON Lines files and read again; the unfinished ones stay unfinished."""
     at = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
-    lines = table(spark, d, "transcript_lines").filter("has_newline").select("file_id", "line_no", "raw")
-    lines.repartition("file_id").sortWithinPartitions("file_id", "line_no").select("file_id", F.coalesce("raw", F.lit("")).alias("value")).write.partitionBy("file_id").text(at)
-    read = split_files(spark, [f"{at}/*/*.txt"])
-    return read.select(F.regexp_extract("path", r"file_id=(\d+)/", 1).cast("bigint").alias("file_id"), "line_no", "has_newline", "raw")
+    write_logs(table(spark, d, "transcript_lines").select("file_id", "line_no", "raw", "has_newline"), at)
+    read = split_files(spark, [f"{at}/*/*.jsonl"]).filter("has_newline")
+    return read.select(F.regexp_extract("path", r"/f(\d+)/log", 1).cast("bigint").alias("file_id"), "line_no", "has_newline", "raw")
+
+
+def ingest_incremental(spark, d):
+    """The logs loaded by several runs: begun, grown, a run lost before it published, rewritten shorter
+    (every seventh file), and unchanged. Every finished line is there once."""
+    at = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    target = VersionedTarget(spark, f"{at}/target")
+    lines = table(spark, d, "transcript_lines").select("file_id", "line_no", "raw", "has_newline").filter("file_id is not null")
+    cut = (F.col("line_no") == 6) & F.col("has_newline")
+    begun = lines.filter("line_no <= 6").withColumn("raw", F.when(cut, F.substring("raw", 1, 9)).otherwise(F.col("raw"))).withColumn("has_newline", F.col("has_newline") & ~cut)
+    load = lambda **more: ingest.run(target, listing(spark, [f"{at}/logs/*/*.jsonl"]), **more)
+    write_logs(begun, f"{at}/logs")
+    load()
+    write_logs(lines, f"{at}/logs")
+
+    def lose():
+        raise InterruptedError
+
+    try:
+        load(before_publish=lose)
+    except InterruptedError:
+        pass
+    load()
+    write_logs(lines.filter("file_id % 7 = 0 and line_no <= 3"), f"{at}/logs")
+    last = load()
+    if load() != last:
+        raise AssertionError("a run without news published a version")
+    return target.read().select(F.regexp_extract("path", r"/f(\d+)/log", 1).cast("bigint").alias("file_id"), "line_no", "byte_start", "raw")
 
 
 # ---- upkeep
@@ -472,7 +519,7 @@ _ALL = [
     role_filter, visibility_filter, project_like, since_filter, sessions_grep, semi_project, anti_headless, orphans, canary_counts,
     session_file_fold, merge_state, sessions_rollup, touches_agg, tool_uses_explode, top_touches, drift_types, drift_blocks, stats_totals, busiest_projects, duplicate_turns, verify_counts, ffill_session, last_usage,
     sessions_list, show_ordered, show_context, show_last, show_head,
-    strip_tag_pairs, collapse_ws, clean_text, redact_text, leak_audit, marker_hits, slugify, project_for, local_date, age_bucket, lint_lines, memory_parse, ingest_roundtrip,
+    strip_tag_pairs, collapse_ws, clean_text, redact_text, leak_audit, marker_hits, slugify, project_for, local_date, age_bucket, lint_lines, memory_parse, ingest_roundtrip, ingest_incremental,
     manifest_plan, snapshot_diff, forget_antijoin, forget_dry_run, longest_prefix_project,
     tier_alarm, tier_alarm_stream, thresholds, cycle_start, delta_counts, delta_files, delta_messages, delta_commands, delta_report, note_selection,
 ]

@@ -325,6 +325,7 @@ SQL = {
                      list_filter(list_transform(list_filter(ls, lambda x: regexp_matches(x, '^\\s*type:')), lambda x: {_strip("regexp_extract(x, '^\\s*type:(.*)$', 1)")}), lambda v: v <> '') AS ts FROM L)
         SELECT doc_id, coalesce(ns[-1], 'doc-' || doc_id) AS name, coalesce(ds[-1], '') AS description, coalesce(ts[1], '') AS mtype, {_strip("CASE WHEN e IS NOT NULL THEN substr(text, e + 4) ELSE text END")} AS body FROM V""",
     "ingest_roundtrip": "SELECT file_id, line_no, true AS has_newline, raw FROM transcript_lines WHERE has_newline",
+    "ingest_incremental": "SELECT file_id, line_no, byte_start, coalesce(raw, '') AS raw FROM transcript_lines WHERE has_newline AND file_id IS NOT NULL AND (file_id % 7 <> 0 OR line_no <= 3)",
     "manifest_plan": f"""WITH {_LISTED}, X AS (SELECT PR.path, PR.size, CASE WHEN o IS NULL OR PR.size < MF.size OR MF.mtime > PR.mtime + 1.0 THEN 'restart' WHEN o >= PR.size THEN 'skip' ELSE 'append' END AS action, o FROM PR LEFT JOIN MF USING (path))
         SELECT path, action, CASE WHEN action = 'append' THEN o ELSE 0 END AS from_offset FROM X""",
     "snapshot_diff": f"""WITH {_LISTED} SELECT coalesce(PR.path, MF.path) AS path, CASE WHEN MF.path IS NULL THEN 'add' WHEN PR.path IS NULL THEN 'delete' WHEN PR.size IS NOT DISTINCT FROM MF.size AND PR.mtime IS NOT DISTINCT FROM MF.mtime THEN 'same' ELSE 'change' END AS action

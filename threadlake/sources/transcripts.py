@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlake.sources.ranges import RANGE_BYTES, listing, read_ranges
+from threadlake.storage import materialize
+
 # Record kinds that make turns or titles, and known kinds of content blocks.
 TURN_TYPES = ["user", "assistant"]
 TITLE_TYPES = ["custom-title", "ai-title", "agent-name"]
@@ -33,21 +36,19 @@ def _present(spark: SparkSession, patterns: list[str]) -> list[str]:
 
 
 def read_lines(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """(path, line_no, has_newline, raw, size, modified) of the transcripts below the folders, both
+    """(path, line_no, has_newline, raw, size, mtime) of the transcripts below the folders, both
     of sessions and of their subagents. The last line of a file without line break at its end has
     has_newline false and is not to be loaded yet."""
     return split_files(spark, _present(spark, [g for r in folders for g in (f"{r}/*/*.jsonl", f"{r}/*/*/subagents/*.jsonl")]))
 
 
-def split_files(spark: SparkSession, globs: list[str]) -> DataFrame:
-    """The physical lines of the files, as ``read_lines`` gives them."""
+def split_files(spark: SparkSession, globs: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The physical lines of the files, as ``read_lines`` gives them, read in byte ranges."""
     if not globs:
-        return spark.createDataFrame([], "path string, line_no bigint, has_newline boolean, raw string, size bigint, modified timestamp")
-    files = spark.read.text(globs, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
-    parts = files.withColumn("parts", F.split("value", "\n", -1)).drop("value")
-    lines = parts.select("path", "size", "modified", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "raw"))
-    whole = F.col("at") < F.col("n") - 1
-    return lines.filter(whole | (F.col("raw") != "")).select("path", (F.col("at") + 1).cast("bigint").alias("line_no"), whole.alias("has_newline"), "raw", "size", "modified")
+        return spark.createDataFrame([], "path string, line_no bigint, has_newline boolean, raw string, size bigint, mtime double")
+    files, _ = materialize(listing(spark, globs), "files")
+    lines = read_ranges(files.select("path", "size", F.lit(0).cast("bigint").alias("from_offset"), F.lit(0).cast("bigint").alias("from_line")), range_bytes)
+    return lines.join(files, "path").select("path", "line_no", "has_newline", "raw", "size", "mtime")
 
 
 def read_notes(spark: SparkSession, folders: list[str], pattern: str = "*/memory/*.md", skip: str = SKIPPED_MEMORY) -> DataFrame:
