@@ -29,16 +29,17 @@ def is_instant(c: Column) -> Column:
 
 
 def instant_key(c: Column) -> Column:
-    """Point in time as struct(sec, frac), comparable; null where the text is no instant.
-    frac holds 18 decimal places; digits beyond them are ignored."""
+    """Point in time as struct(sec, frac, rest), comparable; null where the text is no instant. frac
+    holds 18 decimal places, rest those beyond them without closing zeros."""
     zone = F.regexp_extract(c, r"([+-])(\d\d):(\d\d)\z", 0)
     shift = F.when(zone == "", 0).otherwise(
         F.when(F.substring(zone, 1, 1) == "-", -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("bigint") * 3600 + F.substring(zone, 5, 2).try_cast("bigint") * 60)
     )
     day = F.unix_date(F.substring(c, 1, 10).try_cast("date")).cast("bigint")
     sec = day * 86400 + _num(c, 12, 2) * 3600 + _num(c, 15, 2) * 60 + _num(c, 18, 2) - shift
+    rest = F.rtrim(F.substring(F.regexp_extract(c, r"\.(\d+)", 1), 19, 1 << 30), F.lit("0"))
     frac = F.rpad(F.substring(F.regexp_extract(c, r"\.(\d+)", 1), 1, 18), 18, "0").try_cast("bigint")
-    return F.when(is_instant(c), F.struct(sec.alias("sec"), F.coalesce(frac, F.lit(0)).cast("bigint").alias("frac")))
+    return F.when(is_instant(c), F.struct(sec.alias("sec"), F.coalesce(frac, F.lit(0)).cast("bigint").alias("frac"), rest.alias("rest")))
 
 
 def non_blank(c: Column) -> Column:

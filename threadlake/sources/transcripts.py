@@ -105,6 +105,8 @@ def records(lines: DataFrame, keep: list[str], holding: str | None = None) -> Da
         F.nullif(_get(v, "$[0].customTitle"), F.lit("")).alias("custom_title"),
         F.nullif(F.when(_get(v, "$[0].type") == TITLE_TYPES[1], _get(v, "$[0].aiTitle")).when(_get(v, "$[0].type") == TITLE_TYPES[2], _get(v, "$[0].agentName")), F.lit("")).alias("auto_title"),
         _get(v, "$[0].subtype").alias("subtype"),
+        F.nullif(_get(v, "$[0].uuid"), F.lit("")).alias("uuid"),
+        F.nullif(_get(v, "$[0].parentUuid"), F.lit("")).alias("parent_uuid"),
         _get(v, "$[0].message.role").alias("role"),
         _get(v, "$[0].message.content", "variant").alias("content"),
         _get(v, "$[0].message.usage", "variant").alias("usage"),
