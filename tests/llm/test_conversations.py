@@ -103,3 +103,24 @@ def test_pointers(spark):
     assert all(got[k] == (1, "rooted", k) for k in range(1, 71)) and got[100] == (1, "rooted", 6) and got[101] == (1, "rooted", 6)
     assert got[200] == (200, "orphan", 1) and got[201] == (200, "orphan", 2)
     assert {got[k][1] for k in (300, 301, 302, 400, 401)} == {"cycle"}
+
+
+def test_threads(spark):
+    rows = [(1, "a", None), (2, "b", "a"), (3, "c", "b"), (4, "d", "gone"), (5, "e", "d"), (6, "x", "y"), (7, "y", "x"), (8, "z", "y"), (9, "s", "s"), (10, None, "a"), (11, "b", "a"), (12, "f", ""), (13, "", "a")]
+    got = {r.line_id: (r.thread, r.depth, r.status) for r in conversations.threads(spark.createDataFrame(rows, "line_id bigint, uuid string, parent string")).collect()}
+    assert got == {
+        1: (1, 1, "rooted"), 2: (1, 2, "rooted"), 3: (1, 3, "rooted"), 4: (4, 1, "orphan"), 5: (4, 2, "orphan"), 6: (None, None, "cycle"), 7: (None, None, "cycle"), 8: (None, None, "cycle"),
+        9: (None, None, "cycle"), 11: (1, 2, "rooted"), 12: (12, 1, "rooted"),
+    }
+    assert conversations.threads(spark.createDataFrame([], "line_id bigint, uuid string, parent string")).count() == 0
+
+
+def test_copies_of_one_message(spark):
+    """A message that is most of the table is cut down before it is shuffled."""
+
+    rows = spark.range(20_000).select((F.col("id") + 10).alias("turn_id"), F.lit("s").alias("session_id"), F.lit(1).alias("file_id"), F.lit(1).alias("seq"), F.lit("user").alias("role"), F.lit(False).alias("is_sidechain"), F.lit(None).cast("string").alias("ts"), F.lit(1).alias("line_no"), F.lit("q").alias("text"))
+    other = rows.filter("turn_id = 10").withColumn("turn_id", F.lit(5)).withColumn("seq", F.lit(2)).withColumn("role", F.lit("ai"))
+    table = rows.unionByName(other)
+    assert sorted(tuple(r) for r in conversations.rebuild(table).collect()) == [("s", 1, 10), ("s", 2, 5)]
+    partial = conversations._messages(table)
+    assert partial.count() == 2

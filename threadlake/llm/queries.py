@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlake.llm import conversations, mixing, packing, quality
+from threadlake.plans.log_sql import STRICT_JSON
 from threadlake.sources.tables import table
-from threadlake.storage import materialize
+from threadlake.sources.transcripts import records
+from threadlake.storage import materialize, spread
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +20,28 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "turns"))
 
 
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    lines = spread(table(spark, d, "transcript_lines").select("line_id", "has_newline", "raw"))
+    return records(lines, ["line_id"], '"uuid"').select("line_id", "uuid", F.col("parent_uuid").alias("parent"))
+
+
+def p3_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Threads of the records by the pointers they carry."""
+    return conversations.threads(_linked(spark, d))
+
+
+def p3_planted(spark: SparkSession, d: str) -> DataFrame:
+    """The same with planted faults: every parent of a record whose line is divisible by 97 names a
+    record that does not exist, and every root whose line is divisible by 5 names its own child as
+    its parent, if it has one."""
+    rows = _linked(spark, d)
+    child = rows.filter("parent is not null").groupBy(F.col("parent").alias("uuid")).agg(F.min("uuid").alias("child"))
+    rows = rows.join(child, "uuid", "left")
+    lost = F.col("parent").isNotNull() & (F.col("line_id") % 97 == 0)
+    looped = F.col("parent").isNull() & (F.col("line_id") % 5 == 0)
+    return conversations.threads(rows.withColumn("parent", F.when(lost, F.lit("no such record")).when(looped, F.col("child")).otherwise(F.col("parent"))))
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "container_sizes"))
 
@@ -78,7 +102,7 @@ def p8_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 _PLAIN = ["n_words", "mean_word_length", "symbol_ratio", "line_end_share", "common_share"]
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_conversations, p6_pack, p6_fill, p6_invariants, p7_selection, p7_shares, p7_invariants, p7_soft_shares, p8_found, p8_agreement, p8_stats, p8_ranks)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_conversations, p3_threads, p3_planted, p6_pack, p6_fill, p6_invariants, p7_selection, p7_shares, p7_invariants, p7_soft_shares, p8_found, p8_agreement, p8_stats, p8_ranks)}
 
 _INSTANT = r"'(\d{4})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]([01]\d|2[0-3]):[0-5]\d)'"
 _BLANK = r"[\s\p{Z}\x{85}\x1c-\x1f]"
@@ -115,7 +139,24 @@ _STATS = r"""
                       CASE WHEN len(words) = 0 THEN 0.0 ELSE CAST(len(list_filter(words, lambda x: list_contains(common, lower(x)))) AS DOUBLE) / len(words) END AS common_share
                FROM w)"""
 
+
+def _threads(parent: str) -> str:
+    """Threads by walking down from roots and orphans; what is never reached is on or below a cycle."""
+    return f"""
+        WITH RECURSIVE j0 AS (SELECT line_id, {STRICT_JSON} AS j FROM transcript_lines WHERE has_newline),
+             l0 AS (SELECT line_id, j ->> '$.uuid' AS uuid, nullif(j ->> '$.parentUuid', '') AS parent FROM j0 WHERE json_type(j) = 'OBJECT' AND coalesce(j ->> '$.uuid', '') <> ''),
+             ch AS (SELECT parent AS uuid, min(uuid) AS child FROM l0 WHERE parent IS NOT NULL GROUP BY parent),
+             l AS (SELECT line_id, uuid, {parent} AS parent FROM l0 LEFT JOIN ch USING (uuid)),
+             o AS (SELECT uuid, min(line_id) AS up FROM l GROUP BY uuid),
+             n AS (SELECT line_id, l.parent, up FROM l LEFT JOIN o ON o.uuid = l.parent),
+             w(line_id, thread, depth, status) AS (SELECT line_id, line_id, 1, CASE WHEN parent IS NULL THEN 'rooted' ELSE 'orphan' END FROM n WHERE up IS NULL
+                 UNION ALL SELECT n.line_id, thread, depth + 1, status FROM n JOIN w ON n.up = w.line_id)
+        SELECT line_id, thread, depth, status FROM w UNION ALL SELECT line_id, NULL, NULL, 'cycle' FROM n WHERE line_id NOT IN (SELECT line_id FROM w)"""
+
+
 SQL = {
+    "p3_threads": _threads("parent"),
+    "p3_planted": _threads("CASE WHEN parent IS NOT NULL AND line_id % 97 = 0 THEN 'no such record' WHEN parent IS NULL AND line_id % 5 = 0 THEN child ELSE parent END"),
     "p6_invariants": """SELECT DISTINCT container_kind, capacity_tokens, (SELECT count(*) FROM documents) AS items, 0 AS overfull, 0 AS cut, 0 AS torn, 0 AS wasted
         FROM container_sizes WHERE capacity_tokens > 0 AND container_kind IS NOT NULL""",
     "p7_invariants": r"""
