@@ -127,3 +127,10 @@ def test_rest_next_to_broken_rows(broken, record):
     assert run([*broken, raw]) == run([raw])
     for table in run([raw]):
         assert all(isinstance(json.loads(r[-1]), dict) for r in table if r[-1] is not None)
+
+
+def test_counters_of_nineteen_digits(spark):
+    raw = ['{"type":"user","message":{"usage":{"input_tokens":9223372036854775807,"output_tokens":-9223372036854775808,"cache_read_input_tokens":9223372036854775808,"cache_creation_input_tokens":1.5e18}}}']
+    lines = spark.createDataFrame([(1, True, raw[0])], "line_id bigint, has_newline boolean, raw string")
+    r = nested.messages(lines, spark.createDataFrame([("user",)], "type_name string")).first()
+    assert (r.input_tokens, r.output_tokens, r.cache_read_input_tokens, r.cache_creation_input_tokens) == (2**63 - 1, -(2**63), None, 1_500_000_000_000_000_000)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions.instants import is_instant
-from threadlake.storage import BROADCAST_ROWS, is_bounded
+from threadlake.storage import BROADCAST_ROWS, broadcast_if_bounded, is_bounded
 
 #: Fixed values: (origin, column, rule, argument, reason).
 RULES = [
@@ -176,6 +176,27 @@ def _line_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _cells(rows)
 
 
+def line_heads(raws: list[str | None]) -> list[tuple[bool, str | None, str | None]]:
+    """Of each text whether it is one strict object whose type is a string and whose timestamp is
+    absent, null or a string, and these two. With ``good_heads`` the same judgement as by cells
+    and rules, for callers that go on with the text at hand."""
+    decoder, out = _decoder(), []
+    for raw in raws:
+        record = read_object(raw, decoder)
+        kind, stamp = (record.get("type"), record.get("timestamp")) if record is not None else (None, None)
+        plain = lambda v: isinstance(v, str) and not isinstance(v, _Number)
+        out.append((plain(kind) and (stamp is None or plain(stamp)), kind if plain(kind) else None, stamp if plain(stamp) else None))
+    return out
+
+
+def good_heads(rows: DataFrame, types: DataFrame, kind: str, stamp: str) -> DataFrame:
+    """rows whose type (column kind) is listed and whose timestamp (column stamp) is null or an
+    instant, without these columns."""
+    value = rows.withColumnRenamed(kind, "value").filter(F.col(stamp).isNull() | is_instant(F.col(stamp))).drop(stamp)
+    names = types.select(F.col("type_name").alias("value")).filter("value is not null").distinct()
+    return value.join(broadcast_if_bounded(names), "value", "left_semi").drop("value")
+
+
 def _export_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadlake.functions.jsonscan import Scan
-from threadlake.operators.badrows import line_failures
+from threadlake.operators.badrows import good_heads, line_heads
 
 #: Bytes of text indexed at once, which bounds the memory of a task.
 SLICE_BYTES = 4 << 20
@@ -127,13 +127,15 @@ def _text_member(scan: Scan, objects: np.ndarray, name: str, size: int, at: np.n
 
 
 def _whole(text: str) -> int | None:
-    """A number written with fraction or exponent, if it is an integer of 18 digits at most."""
+    """A number of 19 digits, or written with fraction or exponent, if it is a 64-bit integer."""
     x = Decimal(text)
-    return int(x) if not x or (x.adjusted() < 18 and x == x.to_integral_value()) else None
+    if x and (x.adjusted() > 18 or x != x.to_integral_value()):
+        return None
+    return int(x) if -(1 << 63) <= x < 1 << 63 else None
 
 
 def _count_member(scan: Scan, objects: np.ndarray, name: str) -> pa.Array:
-    """An integer member of the objects; null where it is missing or no integer of 18 digits."""
+    """An integer member of the objects; null where it is missing or no 64-bit integer."""
     parent, value = scan.members(objects, name)
     number = np.isin(scan.byte(value), np.frombuffer(b"-0123456789", np.uint8))
     text = scan.scalars(value[number])
@@ -241,31 +243,47 @@ def _message_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch(MESSAGES, [keys[row], role, kind, n, *[c.take(take) for c in counts.values()], own, served.take(take), usage_rest.take(take), rest])
 
 
-def _loaded(flat: DataFrame, bad: DataFrame) -> DataFrame:
-    """The flat rows of loaded lines only. Their texts and spans may be shuffled, raw lines never."""
-    return flat.join(bad.select(F.col("row_key").alias("line_id")), "line_id", "left_anti")
+def _of_good_lines(kernel, schema: pa.Schema):
+    """The kernel's rows for the lines that problem 5 does not reject for their form, with the line's
+    type and timestamp, so that the rest of that judgement needs no join with the flat rows."""
+    out_schema = pa.schema([*schema, ("__type", pa.string()), ("__time", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = line_heads(b.column(1).to_pylist())
+            good = pa.array([h[0] for h in heads], pa.bool_())
+            kinds, times = (pa.array([h[k] for h in heads], pa.string()).filter(good) for k in (1, 2))
+            keys, texts = b.column(0).filter(good), b.column(1).filter(good)
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(len(keys)), pa.int64()), texts], names=["line_id", "raw"])
+            for out in kernel(iter([numbered])):
+                at = out.column(0)
+                yield pa.RecordBatch.from_arrays([keys.take(at), *out.columns[1:], kinds.take(at), times.take(at)], schema=out_schema)
 
-def _flatten(lines: DataFrame, types: DataFrame, kernel, ddl: str) -> DataFrame:
+    return run
+
+
+def _flatten(lines: DataFrame, types: DataFrame, kernel, schema: pa.Schema, ddl: str) -> DataFrame:
+    """The flat rows of the loaded lines. Neither lines nor flat rows are shuffled: whether a line is
+    loaded is seen where it is read."""
     finished = lines.filter("has_newline").select(F.col("line_id").cast("bigint"), "raw")
-    return _loaded(finished.mapInArrow(kernel, ddl), line_failures(lines, types))
+    return good_heads(finished.mapInArrow(_of_good_lines(kernel, schema), ddl + ", __type string, __time string"), types, "__type", "__time")
 
 
 def nodes(lines: DataFrame, types: DataFrame) -> DataFrame:
     """(line_id, node_kind, node_path) of every content element and usage iteration."""
-    return _flatten(lines, types, _nodes, NODES_DDL)
+    return _flatten(lines, types, _nodes, NODES, NODES_DDL)
 
 
 def content(lines: DataFrame, types: DataFrame) -> DataFrame:
     """Flat content elements with their parent's path, kind, block type and text."""
-    return _flatten(lines, types, _content, CONTENT_DDL)
+    return _flatten(lines, types, _content, CONTENT, CONTENT_DDL)
 
 
 def usage_iterations(lines: DataFrame, types: DataFrame) -> DataFrame:
     """Flat usage iterations with their counters."""
-    return _flatten(lines, types, _usage, USAGE_DDL)
+    return _flatten(lines, types, _usage, USAGE, USAGE_DDL)
 
 
 def messages(lines: DataFrame, types: DataFrame) -> DataFrame:
     """One row per message with its role, kind and number of content elements, and usage."""
-    return _flatten(lines, types, _message_rows, MESSAGES_DDL)
+    return _flatten(lines, types, _message_rows, MESSAGES, MESSAGES_DDL)
