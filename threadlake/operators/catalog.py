@@ -68,9 +68,20 @@ def context(turns: DataFrame, line: int, around: int) -> DataFrame:
     return rows.join(anchor, "session_id").filter(F.abs(F.col("rn") - F.col("__at")) <= around).drop("__at")
 
 
+def read(turns: DataFrame, around: int = 2, every: bool = False, last: bool = False, line: int | None = None, most_chars: int = 1500) -> DataFrame:
+    """(session_id, rn, turn_id, role, ts, line_no, text) of a part of each conversation: everything,
+    else the end, else what stands around a line, else the beginning. Texts are cut unless
+    everything is read."""
+    rows, n = shown(turns), 2 * around + 1
+    part = numbered(rows) if every else tail(rows, n) if last else context(rows, line, around) if line is not None else head(rows, n)
+    text = F.col("text") if every else F.when(F.length("text") > most_chars, F.concat(F.substring("text", 1, most_chars), F.lit(f"\n[cut at {most_chars} characters]"))).otherwise(F.col("text"))
+    return part.select("session_id", "turn_id", "rn").join(turns.select("turn_id", "role", "ts", "line_no", text.alias("text")), "turn_id").select("session_id", "rn", "turn_id", "role", "ts", "line_no", "text")
+
+
 def top_touches(counts: DataFrame, keys: list[str], kind: str = "file", limit: int = 12) -> DataFrame:
-    """Each key's most touched values of a kind."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "value")
+    """Each key's most touched values of a kind; counts of several files of a key stay apart."""
+    ties = [c for c in ("file_id",) if c in counts.columns and c not in keys]
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "value", *ties)
     return counts.filter(F.col("kind") == kind).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
 
 
@@ -79,6 +90,25 @@ def resolve(sessions: DataFrame, prefix: str) -> DataFrame:
     return sessions.filter(F.col("session_id").startswith(prefix)).select("session_id").distinct()
 
 
+def resolve_one(sessions: DataFrame, prefix: str) -> str:
+    """The one session id that begins with a prefix; LookupError if there is none or several."""
+    found = [r[0] for r in resolve(sessions, prefix).orderBy("session_id").limit(7).collect()]
+    if len(found) != 1:
+        raise LookupError(f"{prefix!r} is ambiguous: {', '.join(x.split('-')[0] for x in found[:6])}" if found else f"no session begins with {prefix!r}")
+    return found[0]
+
+
+def resolve_all(sessions: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(prefix, matches, session_id) of many prefixes; the id only where it is the only one. Ids are
+    cut to the lengths that occur and joined, not compared with every prefix."""
+    wanted = prefixes.select("prefix").distinct()
+    lengths = wanted.select(F.length("prefix").alias("n")).distinct().agg(F.collect_set("n").alias("ns"))  # one row, as few as ids are long
+    cut = sessions.select("session_id").distinct().join(F.broadcast(lengths)).select("session_id", F.explode("ns").alias("n")).filter(F.length("session_id") >= F.col("n"))
+    found = cut.groupBy(F.substring("session_id", F.lit(1), F.col("n")).alias("prefix")).agg(F.count("*").alias("matches"), F.min("session_id").alias("session_id"))
+    both = wanted.join(found, "prefix", "left")
+    return both.select("prefix", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("matches") == 1, F.col("session_id")).alias("session_id"))
+
+
 def sample(turns: DataFrame, n: int) -> DataFrame:
     """A repeatable sample of n turns."""
-    return turns.orderBy(F.xxhash64("turn_id"), "turn_id").limit(n)
+    return turns.orderBy(F.md5(F.col("turn_id").cast("string")), "turn_id").limit(n)

@@ -227,6 +227,16 @@ def count_mismatches(sessions: DataFrame, turns: DataFrame, role: str = "role")
     return both.select("session_id", "stored", F.coalesce("counted", F.lit(0)).alias("counted")).filter(~F.col("stored").eqNullSafe(F.col("counted")))
 
 
+def reextracted(turns: DataFrame, records: DataFrame, least_chars: int = 40) -> DataFrame:
+    """(turn_id, state) of stored turns: same, different or missing, as their text is what cleaning
+    the record at their file and line gives, something else, or there is no such record."""
+    stored = turns.filter(F.length("text") > least_chars).select("turn_id", "file_id", "line_no", F.xxhash64("text").alias("stored"), F.length("text").alias("n"))
+    again = records.select("file_id", "line_no", said(F.col("content")).alias("text")).select("file_id", "line_no", F.xxhash64("text").alias("again"), F.length("text").alias("m"))
+    both = stored.join(again, ["file_id", "line_no"], "left")
+    state = F.when(F.col("again").isNull(), "missing").when((F.col("again") == F.col("stored")) & (F.col("n") == F.col("m")), "same").otherwise("different")
+    return both.select("turn_id", state.alias("state"))
+
+
 def orphans(turns: DataFrame, sessions: DataFrame) -> DataFrame:
     """Turns of sessions that the catalogue lacks."""
     return turns.join(sessions.select("session_id").distinct(), "session_id", "left_anti")

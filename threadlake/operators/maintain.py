@@ -42,6 +42,17 @@ def forget_counts(tables: dict[str, DataFrame], sessions: DataFrame) -> DataFram
     return out
 
 
+def tombstones(session_files: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(path): every file that holds one of the forgotten sessions. A tombstone is per file, so other
+    sessions of the same file are not read again either. session_files: session_id, path."""
+    return forget_semi(session_files, sessions).filter("path is not null").select("path").distinct()
+
+
+def forget_semi(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """rows of the given sessions."""
+    return rows.join(broadcast_if_bounded(sessions.select("session_id").distinct()), "session_id", "left_semi")
+
+
 def drop_tombstoned(present: DataFrame, tombstones: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files to scan, tombstones to keep): forgotten files are not scanned again; a tombstone
     goes once its file has."""
@@ -67,11 +78,20 @@ def longest_prefix(names: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def nearest_ancestor(folders: DataFrame, catalogue: DataFrame, most: int = 6) -> DataFrame:
-    """(cwd, hit): the nearest folder at or above cwd that the catalogue lists (column folder)."""
+    """(cwd, hit): the nearest folder at or above cwd that the catalogue lists (column folder; with a
+    column root, (cwd, hit, root) of the nearest, of several roots the one that sorts first)."""
     parts = F.split("cwd", "/")
     up = F.transform(F.sequence(F.lit(0), F.least(F.lit(most), F.size(parts) - 2)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, 1, F.size(parts) - n), "/").alias("folder")))
     tried = folders.select("cwd").distinct().filter(F.size(parts) >= 2).select("cwd", F.inline(up))
-    return tried.join(catalogue.select("folder").distinct(), "folder").groupBy("cwd").agg(F.min_by("folder", "depth").alias("hit"))
+    if "root" not in catalogue.columns:
+        return tried.join(catalogue.select("folder").distinct(), "folder").groupBy("cwd").agg(F.min_by("folder", "depth").alias("hit"))
+    best = F.min(F.struct("depth", "root", "folder")).alias("b")
+    return tried.join(catalogue.select("folder", "root").distinct(), "folder").groupBy("cwd").agg(best).select("cwd", F.col("b.folder").alias("hit"), "b.root")
+
+
+def origin_of(text: Column, head: int = 2000) -> Column:
+    """The session that a note says it comes from, null if it says none in its head."""
+    return F.nullif(F.regexp_extract(F.substring(text, 1, head), r"(?m)^\s*originSessionId:\s*([0-9a-f-]{8,})", 1), F.lit(""))
 
 
 def parse_note(text: Column, stem: Column) -> Column:

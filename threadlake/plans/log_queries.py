@@ -262,9 +262,58 @@ def show_head(spark, d):
     return catalog.head(catalog.shown(turns(spark, d)), 5).select("session_id", "turn_id", "rn")
 
 
+def show_text(spark, d):
+    return catalog.read(turns(spark, d), 2, last=True, line=20, most_chars=200)
+
+
+def top_files(spark, d):
+    counts = folds.touch_counts(_touched(spark, d), ["session_id", "file_id"])
+    return catalog.top_touches(counts, ["session_id"], "file", 12).select("session_id", "file_id", "value", "n", "place")
+
+
+def resolve_prefixes(spark, d):
+    """The first three characters of every session id, and one that none begins with."""
+    rows = sessions(spark, d)
+    return catalog.resolve_all(rows, rows.select(F.substring("session_id", 1, 3).alias("prefix")).unionByName(spark.createDataFrame([("nothing",)], "prefix string")))
+
+
+def sample_turns(spark, d):
+    return catalog.sample(turns(spark, d), 20).select("turn_id")
+
+
+def search_json(spark, d):
+    """Ranked sessions as JSON texts."""
+    ranked = search.rank_sessions(_weighed(spark, d, QUERY), sessions(spark, d))
+    return ranked.select(F.to_json(F.struct("session_id", "hits", "best_turn", "grade")).alias("json"))
+
+
 # ---- texts
 
 
+def note_redact(spark, d):
+    return _secret(spark, d).select("turn_id", X.clean_note(F.col("text")).alias("text"))
+
+
+def note_tags(spark, d):
+    return _tagged(spark, d).select("turn_id", X.strip_note_tags(F.col("text")).alias("text"))
+
+
+def short_forms(spark, d):
+    return turns(spark, d).select("turn_id", X.short_id(F.col("session_id")).alias("short_id"), X.shorten(F.col("text"), 40).alias("short_text"))
+
+
+def embed_notes(spark, d):
+    """Notes without a vector, embedded by a stand-in that counts characters."""
+    todo = vectors.pending_notes(notes(spark, d), vecs(spark, d, "note_id"))
+    return vectors.embed(todo, "note_id", lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts]).select("note_id", F.col("vec")[0].cast("bigint").alias("chars"), F.col("vec")[1].cast("bigint").alias("es"))
+
+
+def verify_roundtrip(spark, d):
+    """Stored turns of sessions whose file exists against their lines."""
+    alive = sessions(spark, d).filter("jsonl_exists").select("session_id")
+    return folds.reextracted(turns(spark, d).join(broadcast_if_bounded(alive), "session_id", "left_semi"), recs(spark, d))
+
+
 def _tagged(spark, d):
     t = F.coalesce("text", F.lit(""))
     k = F.pmod("turn_id", F.lit(4))
@@ -425,6 +474,45 @@ def forget_dry_run(spark, d):
     return maintain.forget_counts({"turns": turns(spark, d), "documents": table(spark, d, "documents"), "sessions": table(spark, d, "sessions")}, _forgotten(spark, d))
 
 
+def _session_paths(spark, d):
+    return turns(spark, d).select("session_id", "file_id").distinct().join(table(spark, d, "files"), "file_id").select("session_id", "path")
+
+
+def forget_tombstones(spark, d):
+    """Files of the forgotten sessions: those still there are skipped, of the others the tombstone goes."""
+    stones, present = maintain.tombstones(_session_paths(spark, d), _forgotten(spark, d)), present_files(table(spark, d, "file_listing"))
+    scanned, kept = maintain.drop_tombstoned(present, stones)
+    state = lambda rows, name: rows.select("path", F.lit(name).alias("state"))
+    return state(scanned, "scan").unionByName(state(kept, "skip")).unionByName(state(stones.join(kept, "path", "left_anti"), "expired"))
+
+
+def drop_restarted(spark, d):
+    """Turns that stay when the rows of files to be read anew are dropped."""
+    again = manifest_plan(spark, d).filter("action = 'restart'")
+    return maintain.drop_files(turns(spark, d).join(table(spark, d, "files"), "file_id"), again).select("turn_id")
+
+
+def rebuild_archive(spark, d):
+    """A full rebuild: fresh lines of the files there are, and stored turns of files that are gone."""
+    files, present = table(spark, d, "files"), present_files(table(spark, d, "file_listing"))
+    fresh = table(spark, d, "transcript_lines").filter("has_newline").join(files, "file_id").join(present.select("path"), "path", "left_semi").select("path", F.col("line_id").alias("id"), F.lit("fresh").alias("kind"))
+    archived = turns(spark, d).join(files, "file_id").select("path", F.col("turn_id").alias("id"), F.lit("archived").alias("kind"))
+    return maintain.rebuild(archived, fresh, present)
+
+
+def memory_folders(spark, d):
+    """The nearest folder at or above each working folder in which a command-line session ran."""
+    rows = sessions(spark, d).filter("cwd is not null")
+    there = rows.filter("entrypoint = 'cli'").select(F.col("cwd").alias("folder"), F.lit(2).alias("root")).unionByName(rows.select(F.lit("/data/desk").alias("folder"), F.lit(1).alias("root")))
+    return maintain.nearest_ancestor(rows, there)
+
+
+def stale_notes(spark, d):
+    """Notes older than the session that loads them after a compaction."""
+    rows = table(spark, d, "documents").select("doc_id", "session_id", (F.unix_micros("captured_at") / 1e6).alias("mtime")).join(sessions(spark, d).select("session_id", X.epoch_seconds(F.col("started_at")).alias("start")), "session_id")
+    return rows.filter(alarm.stale(F.lit("compact"), F.col("mtime"), F.col("start"))).select("doc_id")
+
+
 def longest_prefix_project(spark, d):
     rows = sessions(spark, d)
     names = rows.filter("cwd like '/data/desk/%'").select(X.slugify(F.substring("cwd", 12, 1_000_000)).alias("slug"))
@@ -441,12 +529,21 @@ def tier_alarm(spark, d):
 
 
 def tier_alarm_stream(spark, d):
+    return _streamed(spark, d, None)
+
+
+def tier_alarm_ttl(spark, d):
+    """The stream whose state is forgotten two days after the last alarm."""
+    return _streamed(spark, d, 2.0)
+
+
+def _streamed(spark, d, ttl_days):
     """The alarm on a stream that reads the events, its output written below the shared folder."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     source = table(spark, d, "events")
     events = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
     at = f"{shared_dir(spark)}/alarm-{uuid.uuid4().hex}"
-    out = alarm.stream_alarms(events.select("user_id", "event_id", "ts", "value"), "user_id", 140.0, 176.0, ttl_days=None)
+    out = alarm.stream_alarms(events.select("user_id", "event_id", "ts", "value"), "user_id", 140.0, 176.0, ttl_days)
     out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out").select("event_id", F.col("key").alias("user_id"), "want", "mode")
 
@@ -508,9 +605,12 @@ def delta_report(spark, d):
 
 
 def note_selection(spark, d):
+    """Notes with an invented head that names their session, another one or none."""
     docs = table(spark, d, "documents").filter("session_id is not null")
     kind = F.pmod("doc_id", F.lit(3))
-    rows = docs.select("session_id", F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("mtime"), (kind == 0).alias("own"), F.when(kind == 1, F.col("session_id")).when(F.pmod("doc_id", F.lit(2)) == 0, F.lit("other")).alias("origin"))
+    named = F.when(kind == 1, F.col("session_id")).when(F.pmod("doc_id", F.lit(2)) == 0, "00000000-dead-beef")
+    text = F.concat(F.lit("---\nname: x\n"), F.coalesce(F.concat(F.lit("  originSessionId: "), named, F.lit("\n")), F.lit("")), F.lit("---\n"), F.coalesce("text", F.lit("")))
+    rows = docs.select("session_id", F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("mtime"), (kind == 0).alias("own"), maintain.origin_of(text).alias("origin"))
     return maintain.choose_note(rows).select("session_id", "path", "priority")
 
 
@@ -518,10 +618,10 @@ _ALL = [
     search_ranked, search_top_turns, bm25_scores, fallback_strategy, short_term_search, snippet, memory_search, vector_dot, semantic_sessions, semantic_memories, embed_pending,
     role_filter, visibility_filter, project_like, since_filter, sessions_grep, semi_project, anti_headless, orphans, canary_counts,
     session_file_fold, merge_state, sessions_rollup, touches_agg, tool_uses_explode, top_touches, drift_types, drift_blocks, stats_totals, busiest_projects, duplicate_turns, verify_counts, ffill_session, last_usage,
-    sessions_list, show_ordered, show_context, show_last, show_head,
-    strip_tag_pairs, collapse_ws, clean_text, redact_text, leak_audit, marker_hits, slugify, project_for, local_date, age_bucket, lint_lines, memory_parse, ingest_roundtrip, ingest_incremental,
-    manifest_plan, snapshot_diff, forget_antijoin, forget_dry_run, longest_prefix_project,
-    tier_alarm, tier_alarm_stream, thresholds, cycle_start, delta_counts, delta_files, delta_messages, delta_commands, delta_report, note_selection,
+    sessions_list, show_ordered, show_context, show_last, show_head, show_text, top_files, resolve_prefixes, sample_turns, search_json,
+    strip_tag_pairs, collapse_ws, clean_text, redact_text, leak_audit, marker_hits, slugify, project_for, local_date, age_bucket, lint_lines, memory_parse, note_redact, note_tags, short_forms, embed_notes, verify_roundtrip, ingest_roundtrip, ingest_incremental,
+    manifest_plan, snapshot_diff, forget_antijoin, forget_dry_run, forget_tombstones, drop_restarted, rebuild_archive, memory_folders, stale_notes, longest_prefix_project,
+    tier_alarm, tier_alarm_stream, tier_alarm_ttl, thresholds, cycle_start, delta_counts, delta_files, delta_messages, delta_commands, delta_report, note_selection,
 ]
 
 QUERIES = {f.__name__: f for f in _ALL} | {"blocks_text": blocks_text_query}

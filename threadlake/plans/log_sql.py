@@ -138,7 +138,29 @@ _SECRET = f"""SE AS (SELECT turn_id, coalesce(text, '') || CASE turn_id % 12 WHE
         WHEN 6 THEN ' pk_live_' || {_KEY} || ' go_live_date' WHEN 7 THEN ' AKIA' || upper(substr({_KEY}, 1, 16)) || ' x' WHEN 8 THEN ' ghp_' || {_KEY} WHEN 9 THEN ' xoxb-' || {_KEY}
         WHEN 10 THEN ' eyJ' || {_KEY} || '.eyJ' || {_KEY} || '.' || {_KEY}
         ELSE ' -----BEGIN RSA PRIVATE KEY-----' || chr(10) || {_KEY} || chr(10) || '-----END RSA PRIVATE KEY----- done' END AS text FROM turns)"""
-_LEAKY = lambda c: f"coalesce({_redacted(c)} <> {c}, false)"
+
+
+def _leaky(c: str) -> str:
+    """The twelve leak rules; what is masked is taken out first, as the engine has no lookaround."""
+    m = r"\[REDACTED\]"
+    rules = [
+        (rf"(^|[^A-Za-z0-9])sk-{m}", r"(^|[^A-Za-z0-9])sk-[A-Za-z0-9]"),
+        (rf"(?i)api[_-]?key{_SEP}{m}", rf"(?i)api[_-]?key{_SEP}[^\s\x1c-\x1f\"'']"),
+        (rf"(?i)password{_SEP}{m}", rf"(?i)password{_SEP}[^\s\x1c-\x1f\"'']"),
+        (rf"""(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)=["'']?{m}""", r"""\b[A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)=["'']?[^/~$\s"''][^\s"'']{7,}"""),
+        (rf"(?i)(?:client_secret|secret|token){_SEP}{m}", rf"(?i)(?:client_secret|secret|token){_SEP}[^\s\x1c-\x1f\"'']{{12,}}"),
+        (rf"Bearer[ \t]+(?:{m}|[Tt]oken\b)", r"Bearer[ \t]+\S"),
+        (rf"_live_{m}", r"(^|[^A-Za-z0-9])(?:sk|pk|rk|whsec|stripe)_live_[A-Za-z0-9]"),
+        (None, r"(^|[^A-Za-z0-9])AKIA[0-9A-Z]{16}"),
+        (None, r"(^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{20,}"),
+        (None, r"(^|[^A-Za-z0-9])xox[abprs]-[A-Za-z0-9\-]{10,}"),
+        (None, r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]+"),
+        (None, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ]
+    tests = [f"regexp_matches({c if gone is None else f"regexp_replace({c}, '{gone}', ' ', 'g')"}, '{pattern}')" for gone, pattern in rules]
+    return f"coalesce({' OR '.join(tests)}, false)"
+
+
 
 _MARKERS = [r"sk-[A-Za-z0-9]", r"api[_-]?key *[=:]", r"Bearer ", r"password *[=:]", r"_live_[A-Za-z0-9]"]
 
@@ -301,13 +323,27 @@ SQL = {
     "show_context": _SHOWN + ", A AS (SELECT session_id, arg_min(rn, {'d': abs(line_no - 20), 'r': rn}) AS a FROM N GROUP BY session_id) SELECT session_id, turn_id, rn FROM N JOIN A USING (session_id) WHERE abs(rn - a) <= 2",
     "show_last": _SHOWN + " SELECT session_id, turn_id, rn FROM (SELECT *, max(rn) OVER (PARTITION BY session_id) AS l FROM N) WHERE rn > l - 5",
     "show_head": _SHOWN + " SELECT session_id, turn_id, rn FROM N WHERE rn <= 5",
+    "show_text": _SHOWN + """ SELECT session_id, rn, turn_id, role, ts, line_no, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || chr(10) || '[cut at 200 characters]' ELSE text END AS text
+        FROM (SELECT *, max(rn) OVER (PARTITION BY session_id) AS l FROM N) WHERE rn > l - 5""",
+    "top_files": f"WITH {_R}, {_used('I')} SELECT session_id, file_id, value, n, place FROM (SELECT session_id, file_id, value, count(*) AS n, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, value, file_id) AS place FROM UV WHERE kind = 'file' GROUP BY session_id, file_id, value) WHERE place <= 12",
+    "resolve_prefixes": f"""WITH {_S}, P AS (SELECT DISTINCT substr(session_id, 1, 3) AS prefix FROM S UNION SELECT 'nothing')
+        SELECT prefix, count(S.session_id) AS matches, CASE WHEN count(S.session_id) = 1 THEN min(S.session_id) END AS session_id FROM P LEFT JOIN S ON starts_with(S.session_id, prefix) GROUP BY prefix""",
+    "sample_turns": f"WITH {_T} SELECT turn_id FROM T ORDER BY md5(CAST(turn_id AS VARCHAR)), turn_id LIMIT 20",
+    "search_json": _SEARCH + """ SELECT '{"session_id":"' || session_id || '","hits":' || hits || ',"best_turn":' || best_turn || ',"grade":' || grade || '}' AS json FROM RK""",
+    "note_redact": f"WITH {_SECRET}, NX AS (SELECT turn_id, {_note_text('text')} AS text FROM SE) SELECT turn_id, {_note_redacted('text')} AS text FROM NX",
+    "note_tags": f"WITH {_TAGGED} SELECT turn_id, {_note_text('text')} AS text FROM TG",
+    "short_forms": f"WITH {_T}, B AS (SELECT *, {_strip('text')} AS t FROM T) SELECT turn_id, string_split(session_id, '-')[1] AS short_id, {_shortened('t', 40)} AS short_text FROM B",
+    "embed_notes": """WITH P AS (SELECT doc_id AS note_id, substr(coalesce(source, '') || chr(10) || coalesce(project, '') || chr(10) || coalesce(text, ''), 1, 2000) AS t FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL))
+        SELECT note_id, length(t) AS chars, length(t) - length(replace(t, 'e', '')) AS es FROM P""",
+    "verify_roundtrip": f"""WITH {_R}, {_T}, {_S}, AG AS (SELECT file_id, line_no, {_cleaned('text')} AS again FROM RT)
+        SELECT turn_id, CASE WHEN again IS NULL THEN 'missing' WHEN again = text THEN 'same' ELSE 'different' END AS state FROM T LEFT JOIN AG USING (file_id, line_no) WHERE length(text) > 40 AND session_id IN (SELECT session_id FROM S WHERE jsonl_exists)""",
     "strip_tag_pairs": f"WITH {_TAGGED} SELECT turn_id, {_pairs('text')} AS text FROM TG",
     "collapse_ws": f"WITH {_TAGGED} SELECT turn_id, {_blanks('text')} AS text FROM TG",
     "clean_text": f"""WITH {_TAGGED}, CL AS (SELECT turn_id, {_blanks(f"regexp_replace({_pairs('text')}, '(?m)^Caveat: The messages below.*?$', ' ', 'g')")} AS text FROM TG) SELECT turn_id, {_redacted('text')} AS text FROM CL""",
     "redact_text": f"WITH {_SECRET} SELECT turn_id, {_redacted('text')} AS text FROM SE",
-    "leak_audit": f"""WITH {_SECRET}, {_R}, {_used('I')}, AU AS (SELECT 'turns' AS source, text FROM SE UNION ALL SELECT 'notes', concat_ws(' ', coalesce(source, ''), coalesce(project, ''), coalesce(text, '')) FROM documents
+    "leak_audit": f"""WITH {_SECRET}, {_R}, {_used('I')}, AU AS (SELECT 'turns' AS source, text FROM SE UNION ALL SELECT 'cleaned', {_redacted('text')} FROM SE UNION ALL SELECT 'notes', concat_ws(' ', coalesce(source, ''), coalesce(project, ''), coalesce(text, '')) FROM documents
         UNION ALL SELECT 'titles', title FROM sessions UNION ALL SELECT 'touches', value FROM UV)
-        SELECT source, count(*) FILTER ({_LEAKY('text')} OR coalesce(regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----'), false)) AS n FROM AU GROUP BY source UNION ALL SELECT 'cleaned', 0""",
+        SELECT source, count(*) FILTER ({_leaky('text')}) AS n FROM AU GROUP BY source""",
     "marker_hits": f"WITH {_SECRET} SELECT turn_id, {' + '.join(f'''CAST(regexp_matches(text, '{m}') AS INTEGER)''' for m in _MARKERS)} AS markers FROM SE",
     "slugify": f"WITH {_S} SELECT session_id, regexp_replace(cwd, '[^A-Za-z0-9]', '-', 'g') AS slug FROM S",
     "project_for": f"""WITH {_S} SELECT session_id, CASE WHEN coalesce(cwd, '') = '' THEN regexp_replace(string_split(jsonl_path, '/')[-2], '^-+', '') WHEN regexp_matches(cwd, '^/(private/)?tmp/[a-z]+-[0-9]+/[^/]+/') THEN regexp_replace(regexp_extract(cwd, '^/(?:private/)?tmp/[a-z]+-[0-9]+/([^/]+)/', 1), '^-+', '')
@@ -333,11 +369,26 @@ SQL = {
     "forget_antijoin": f"WITH {_T}, {_S}, {_GONE} SELECT turn_id FROM T WHERE session_id NOT IN (SELECT session_id FROM GO)",
     "forget_dry_run": f"""WITH {_T}, {_S}, {_GONE} SELECT 'turns' AS "table", count(*) AS n FROM T WHERE session_id IN (SELECT session_id FROM GO) UNION ALL SELECT 'documents', count(*) FROM documents WHERE session_id IN (SELECT session_id FROM GO)
         UNION ALL SELECT 'sessions', count(*) FROM sessions WHERE session_id IN (SELECT session_id FROM GO)""",
+    "forget_tombstones": f"""WITH {_T}, {_S}, {_GONE}, {_LISTED}, TS AS (SELECT DISTINCT path FROM T JOIN files USING (file_id) WHERE path IS NOT NULL AND session_id IN (SELECT session_id FROM GO))
+        SELECT path, CASE WHEN path IN (SELECT path FROM TS) THEN 'skip' ELSE 'scan' END AS state FROM PR UNION ALL SELECT path, 'expired' FROM TS WHERE path NOT IN (SELECT path FROM PR)""",
+    "drop_restarted": f"""WITH {_T}, {_LISTED}, X AS (SELECT PR.path FROM PR LEFT JOIN MF USING (path) WHERE o IS NULL OR PR.size < MF.size OR MF.mtime > PR.mtime + 1.0)
+        SELECT turn_id FROM T JOIN files USING (file_id) WHERE path NOT IN (SELECT path FROM X)""",
+    "rebuild_archive": f"""WITH {_T}, {_LISTED} SELECT path, line_id AS id, 'fresh' AS kind FROM transcript_lines JOIN files USING (file_id) WHERE has_newline AND path IN (SELECT path FROM PR)
+        UNION ALL SELECT path, turn_id, 'archived' FROM T JOIN files USING (file_id) WHERE path NOT IN (SELECT path FROM PR)""",
+    "memory_folders": f"""WITH {_S}, C AS (SELECT DISTINCT cwd, string_split(cwd, '/') AS p FROM S WHERE cwd IS NOT NULL), F AS (SELECT DISTINCT cwd AS folder, 2 AS root FROM S WHERE entrypoint = 'cli' AND cwd IS NOT NULL UNION SELECT '/data/desk', 1),
+        U AS (SELECT cwd, n, array_to_string(p[1:len(p) - n], '/') AS folder FROM (SELECT cwd, p, unnest(range(0, least(6, len(p) - 2) + 1)) AS n FROM C WHERE len(p) >= 2))
+        SELECT cwd, arg_min(folder, {{'d': n, 'r': root}}) AS hit, arg_min(root, {{'d': n, 'r': root}}) AS root FROM U JOIN F USING (folder) GROUP BY cwd""",
+    "stale_notes": f"WITH {_S} SELECT doc_id FROM documents JOIN S USING (session_id) WHERE epoch_us(captured_at) / 1e6 < {_epoch('started_at')}",
     "longest_prefix_project": f"""WITH {_S}, NA AS (SELECT DISTINCT regexp_replace(substr(cwd, 12), '[^A-Za-z0-9]', '-', 'g') AS slug FROM S WHERE cwd LIKE '/data/desk/%'),
         KN AS (SELECT regexp_replace(project, '[^A-Za-z0-9]', '-', 'g') AS k, min(project) AS project FROM S WHERE project IS NOT NULL AND project <> '' GROUP BY 1)
         SELECT slug, arg_max(project, length(k)) AS project FROM NA JOIN KN ON slug = k OR starts_with(slug, k || '-') GROUP BY slug""",
     "tier_alarm": _TIER,
     "tier_alarm_stream": _TIER,
+    "tier_alarm_ttl": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, CASE WHEN value >= 176 THEN 2 WHEN value >= 140 THEN 1 ELSE 0 END AS want, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+        m(user_id, rn, event_id, want, before, done, given) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0, 0, 0, CAST(0 AS BIGINT) FROM (SELECT DISTINCT user_id FROM e)
+            UNION ALL SELECT user_id, rn, event_id, want, before, CASE WHEN want = 0 THEN 0 ELSE greatest(before, want) END, CASE WHEN want > before THEN t ELSE given END
+            FROM (SELECT e.user_id, e.rn, e.event_id, e.want, e.t, m.given, CASE WHEN m.done > 0 AND e.t - m.given > 2 * 86400000000 THEN 0 ELSE m.done END AS before FROM m JOIN e ON e.user_id = m.user_id AND e.rn = m.rn + 1))
+        SELECT event_id, user_id, want, CASE WHEN want = 1 OR before = 0 THEN 'full' ELSE 'quick' END AS mode FROM m WHERE want > before""",
     "thresholds": """WITH w AS (SELECT event_id, (user_id + 100) * 1000 AS w, CAST(value * 10000 AS BIGINT) AS t FROM events), e AS (SELECT event_id, CASE WHEN t > w THEN greatest(w, 1000000) ELSE w END AS w FROM w)
         SELECT event_id, CAST(floor(w * CAST(0.70 AS DOUBLE)) AS BIGINT) AS "full", greatest(CAST(floor(w * CAST(0.88 AS DOUBLE)) AS BIGINT), CAST(floor(w * CAST(0.70 AS DOUBLE)) AS BIGINT) + 1) AS quick FROM e""",
     "cycle_start": f"WITH {_R}, {_DATED} SELECT file_id, round(coalesce(max(epoch) FILTER (is_boundary AND epoch < {AS_OF} - 600), arg_min(epoch, line_no) - 1), 3) AS start FROM D WHERE epoch IS NOT NULL GROUP BY file_id",
