@@ -14,6 +14,10 @@ DATA = os.environ.get("THREADLAKE_TEST_DATA", "/root/testdata/sf0.001")
 CORE = sorted(set(log_queries.QUERIES) | set(problem_queries.QUERIES))
 
 
+# spans of the source as they are written, which the SQL engine does not keep; see test_nested
+WITHOUT_SQL = {"p4_rest"}
+
+
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
@@ -25,8 +29,10 @@ def con():
 
 @pytest.mark.parametrize("name", CORE)
 def test_query(spark, con, name):
-    said = verify.compare(spark, con, DATA, name, entry.oracle_sql().get(name))
-    assert said.startswith(("same", "rows")), said
+    sql = entry.oracle_sql().get(name)
+    assert sql is not None or name in WITHOUT_SQL
+    said = verify.compare(spark, con, DATA, name, sql)
+    assert said.startswith("same") if sql else int(said.split()[1]) > 0, said
 
 
 def test_entry(spark):

@@ -2,6 +2,7 @@ import datetime
 import json
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -161,6 +162,13 @@ def test_windows(spark):
     assert {(r.session_id, r.turn_id) for r in catalog.tail(rows, 1).collect()} >= {("a", 2), ("b", 3)}
     assert {(r.session_id, r.turn_id) for r in catalog.head(rows, 1).collect()} >= {("a", 1)}
     assert {r.turn_id for r in catalog.context(rows.filter("session_id = 'a'"), 2, 0).collect()} == {2}
+    with pytest.raises(LookupError, match="ambiguous"):
+        catalog.resolve_one(turns(spark), "")
+    with pytest.raises(LookupError, match="no session"):
+        catalog.resolve_one(turns(spark), "nope")
+    assert catalog.resolve_one(turns(spark), "a") == "a"
+    parts = [catalog.read(turns(spark), 0, **how).count() for how in ({"every": True, "last": True}, {"last": True, "line": 1}, {"line": 2}, {})]
+    assert parts == [6, 5, 5, 5] and {r.text for r in catalog.read(turns(spark), 0, most_chars=3).collect()} >= {"the\n[cut at 3 characters]", None, ""}
     assert catalog.resolve(turns(spark), "a").count() == 1 and catalog.sample(turns(spark), 2).count() == 2
 
 
@@ -223,6 +231,11 @@ def test_alarm(spark):
     df = spark.createDataFrame(events, "event_id bigint, k bigint, value bigint")
     got = alarm.alarms(df, "k", ["event_id"], alarm.wanted(F.col("value"), F.lit(7), F.lit(9)))
     assert sorted((r.event_id, r.mode) for r in got.collect()) == machine(events, 7, 9)
+    rng = random.Random(3)
+    many = [(n, 0 if n % 7 else n % 3, rng.choice([1, 7, 7, 7, 9]) if n < 4000 else 7) for n in range(6000)]
+    spread = spark.createDataFrame(many, "event_id bigint, k bigint, value bigint").repartition(6)
+    got = alarm.alarms(spread, "k", ["event_id"], alarm.wanted(F.col("value"), F.lit(7), F.lit(9)))
+    assert sorted((r.event_id, r.mode) for r in got.collect()) == machine(many, 7, 9)  # one key over all partitions
     tiers = spark.range(1).select(*alarm.thresholds(alarm.effective_window(F.lit(200_000), F.lit(300_000))), *alarm.thresholds(F.lit(10), F.lit(9)))
     assert tuple(tiers.first()) == (700_000, 880_000, 9, 10)
 

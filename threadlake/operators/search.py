@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import age_days, like_ascii
+from threadlake.storage import broadcast_if_bounded
 
 # Ranking constants.
 K1, B = 1.2, 0.75
@@ -126,9 +127,9 @@ def rank_sessions(weighed: DataFrame, sessions: DataFrame, limit: int | None = 8
 
 
 def top_turns(weighed: DataFrame, ranked: DataFrame, per_session: int = 3) -> DataFrame:
-    """The best turns of the ranked sessions (few, as they were limited)."""
+    """The best turns of the ranked sessions."""
     w = Window.partitionBy("session_id").orderBy(F.desc("w"), "turn_id")
-    return weighed.join(F.broadcast(ranked.select("session_id", "score")), "session_id").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_session)
+    return weighed.join(broadcast_if_bounded(ranked.select("session_id", "score")), "session_id").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= per_session)
 
 
 def search_notes(notes: DataFrame, query: str, limit: int = 5, project: str | None = None) -> DataFrame:

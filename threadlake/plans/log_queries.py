@@ -533,8 +533,8 @@ def tier_alarm_stream(spark, d):
 
 
 def tier_alarm_ttl(spark, d):
-    """The stream whose state is forgotten two days after the last alarm."""
-    return _streamed(spark, d, 2.0)
+    """The stream whose state is forgotten six hours after the last alarm."""
+    return _streamed(spark, d, 0.25)
 
 
 def _streamed(spark, d, ttl_days):

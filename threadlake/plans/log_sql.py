@@ -387,7 +387,7 @@ SQL = {
     "tier_alarm_ttl": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, CASE WHEN value >= 176 THEN 2 WHEN value >= 140 THEN 1 ELSE 0 END AS want, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
         m(user_id, rn, event_id, want, before, done, given) AS (SELECT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 0, 0, 0, CAST(0 AS BIGINT) FROM (SELECT DISTINCT user_id FROM e)
             UNION ALL SELECT user_id, rn, event_id, want, before, CASE WHEN want = 0 THEN 0 ELSE greatest(before, want) END, CASE WHEN want > before THEN t ELSE given END
-            FROM (SELECT e.user_id, e.rn, e.event_id, e.want, e.t, m.given, CASE WHEN m.done > 0 AND e.t - m.given > 2 * 86400000000 THEN 0 ELSE m.done END AS before FROM m JOIN e ON e.user_id = m.user_id AND e.rn = m.rn + 1))
+            FROM (SELECT e.user_id, e.rn, e.event_id, e.want, e.t, m.given, CASE WHEN m.done > 0 AND e.t - m.given > 21600000000 THEN 0 ELSE m.done END AS before FROM m JOIN e ON e.user_id = m.user_id AND e.rn = m.rn + 1))
         SELECT event_id, user_id, want, CASE WHEN want = 1 OR before = 0 THEN 'full' ELSE 'quick' END AS mode FROM m WHERE want > before""",
     "thresholds": """WITH w AS (SELECT event_id, (user_id + 100) * 1000 AS w, CAST(value * 10000 AS BIGINT) AS t FROM events), e AS (SELECT event_id, CASE WHEN t > w THEN greatest(w, 1000000) ELSE w END AS w FROM w)
         SELECT event_id, CAST(floor(w * CAST(0.70 AS DOUBLE)) AS BIGINT) AS "full", greatest(CAST(floor(w * CAST(0.88 AS DOUBLE)) AS BIGINT), CAST(floor(w * CAST(0.70 AS DOUBLE)) AS BIGINT) + 1) AS quick FROM e""",

@@ -14,12 +14,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_KNOWN: set[str] = set()
 #: Rows up to which a table may be broadcast; with the narrow rows used here a few tens of MB.
 BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables of this application."""
+    """Folder for intermediate tables of this application; it goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         base = "file://" + tempfile.mkdtemp(prefix="threadlake-")
@@ -27,7 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(_quietly_delete, base[7:])
     if not base:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/threadlake/{spark.sparkContext.applicationId}"
+    path = f"{base.rstrip('/')}/threadlake/{spark.sparkContext.applicationId}"
+    if path not in _KNOWN:
+        _KNOWN.add(path)
+        fs, p = hadoop_path(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
 
 
 def _quietly_delete(path: str) -> None:

@@ -1,8 +1,8 @@
 """The two-tier threshold alarm and the delta since a watermark, on tables and on streams.
 
 Below the lower tier a key's state is cleared; at or above it the wanted tier is 1, above the upper
-one 2; an alarm is given when it rises above what was given before. On tables this is two window
-passes; on streams the tier is kept in state, with a time to live.
+one 2; an alarm is given when it rises above what was given before. On tables states are composed
+over range partitions; on streams the tier is kept in state, with a time to live.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlake.functions.text import NOTE_REDACTIONS, redact, shorten
-from threadlake.storage import broadcast_if_bounded
+from threadlake.storage import broadcast_if_bounded, materialize
 
 # Tiers as shares of the window, the larger window, and how long state lives.
 FULL_SHARE, QUICK_SHARE = 0.70, 0.88
@@ -40,14 +40,26 @@ def wanted(value: Column, full: Column, quick: Column) -> Column:
 
 
 def alarms(events: DataFrame, key: str, order: list[str], want: Column) -> DataFrame:
-    """Events that raise an alarm, with ``want`` and ``mode`` (full or quick)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    rows = events.withColumn("want", want)
-    rows = rows.withColumn("cycle", F.sum((F.col("want") == 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inner = Window.partitionBy(key, "cycle").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("done", F.coalesce(F.max("want").over(inner), F.lit(0)))
+    """Events that raise an alarm, with ``want`` and ``mode`` (full or quick). order must tell the
+    events of a key apart. Events are sorted by range partitions, so a key that has most of
+    them is spread: what a partition does to the state (whether it clears it, and the highest tier
+    since) is one row per key and partition, and the state a partition begins with is composed from
+    the rows before."""
+    ranged, _ = materialize(events.withColumn("want", want).repartitionByRange(key, *order).withColumn("pid", F.spark_partition_id()), "events")
+    local = Window.partitionBy(key, "pid").orderBy(*order)
+    rows = ranged.withColumn("cycle", F.sum((F.col("want") == 0).cast("int")).over(local.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = Window.partitionBy(key, "pid", "cycle").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("above", F.coalesce(F.max("want").over(inner), F.lit(0)))
+    last = F.max_by(F.greatest("above", "want"), F.struct("cycle", *order))
+    parts = rows.groupBy(F.col(key).alias("__k"), F.col("pid").alias("__p")).agg((F.max("cycle") > 0).alias("clears"), last.alias("tier"))
+    over = Window.partitionBy("__k").orderBy("__p")
+    parts = parts.withColumn("since", F.sum(F.col("clears").cast("int")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumn("after", F.max("tier").over(Window.partitionBy("__k", "since").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.select("__k", "__p", F.coalesce(F.lag("after").over(over), F.lit(0)).alias("begins"))
+    rows = rows.join(parts, F.col(key).eqNullSafe(F.col("__k")) & (F.col("pid") == F.col("__p")))
+    rows = rows.withColumn("done", F.when(F.col("cycle") == 0, F.greatest("above", "begins")).otherwise(F.col("above")))
     fired = rows.filter((F.col("want") > 0) & (F.col("want") > F.col("done")))
-    return fired.withColumn("mode", F.when((F.col("want") == 1) | (F.col("done") == 0), "full").otherwise("quick")).drop("cycle", "done")
+    return fired.withColumn("mode", F.when((F.col("want") == 1) | (F.col("done") == 0), "full").otherwise("quick")).select(*events.columns, "want", "mode")
 
 
 def stream_alarms(events: DataFrame, key: str, full: float, quick: float, ttl_days: float | None = STATE_DAYS) -> DataFrame:
