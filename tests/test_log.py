@@ -12,7 +12,8 @@ import __spark_entry__ as entry
 import verify
 
 from threadlake.functions import text as X
-from threadlake.operators import catalog, folds, maintain, search, vectors
+from threadlake.operators import catalog, folds, maintain, search, trigrams, vectors
+from threadlake.operators.incremental import VersionedTarget
 from threadlake.plans import log_queries
 from threadlake.sources import transcripts
 from threadlake.streaming import alarm
@@ -59,6 +60,26 @@ def test_ranking(spark):
     assert search.top_turns(hits, search.rank_sessions(hits, sessions), 1).count() == 2
 
 
+def test_trigram_index(spark, tmp_path):
+    """The same matches as by reading everything, from the blocks that can match only."""
+    rng = random.Random(7)
+    words = ["Queue", "ledger", "snapshot", "ไทยคำ", "naïve", "aaaa", "x"]
+    rows = [(k, "s%d" % (k % 9), 1, k, k, "user", k % 11 == 0, "2025-05-31T00:00:00Z", None if k % 50 == 0 else " ".join(rng.choice(words[:2] if k < 300 else words) for _ in range(rng.randrange(6)))) for k in range(600)]
+    table = spark.createDataFrame(rows, TURNS).coalesce(2)
+    target = VersionedTarget(spark, f"{tmp_path}/index")
+    assert trigrams.matches(target, "queue") is None
+    trigrams.add(target, table.filter("turn_id < 300"), block_rows=40)
+    trigrams.add(target, table.filter("turn_id >= 300"), block_rows=40)
+    plain = lambda df: sorted((r.turn_id, r.grade, round(r.bm, 9)) for r in df.collect())
+    for q in ("snapshot", "QUEUE ledger", "ไทย", "naïve aaaa", "zzzz", "aaa x", "x", "ledger not-there"):
+        assert plain(trigrams.matches(target, q)) == plain(search.matches(table, q)), q
+    n = lambda q: trigrams.candidates(target.keys(), [q]).count()
+    assert 0 < n("snapshot") < n("ledger") and n("zzzz") == 0
+    old = trigrams.candidates(target.keys(), ["snapshot"])
+    trigrams.add(target, table.limit(0), retired=old)
+    assert plain(trigrams.matches(target, "snapshot")) == []
+
+
 def test_notes(spark):
     rows = [(1, "queue", None, "x", 1), (2, "n", "d", "queue queue", 2), (3, "n", "d", "queue queue", 3), (4, None, None, None, 4)]
     notes = spark.createDataFrame(rows, "note_id bigint, name string, description string, body string, mtime bigint")

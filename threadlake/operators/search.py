@@ -62,9 +62,10 @@ def _bm25(low: list[Column], length: Column, term: str, k: int) -> Column:
     return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("__mean")))
 
 
-def graded(rows: DataFrame, columns: list[str], long: list[str], extra: Column | None = None) -> DataFrame:
+def graded(rows: DataFrame, columns: list[str], long: list[str], extra: Column | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """Rows that match at the strictest grade with any match, with ``grade`` (1 all terms, 2 all
-    but the longest, 3 any) and ``bm`` (higher is better). extra filters rows, not statistics."""
+    but the longest, 3 any) and ``bm`` (higher is better). extra filters rows, not statistics.
+    corpus (one row: __rows, __mean) if rows are not all there are, but all that can match."""
     low_terms = [t.lower() for t in long]
     low = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
     length = sum((F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in columns[1:]), F.greatest(F.length(F.coalesce(F.col(columns[0]), F.lit(""))) - 2, F.lit(0)))
@@ -75,6 +76,8 @@ def graded(rows: DataFrame, columns: list[str], long: list[str], extra: Column |
             hit = hit | x.contains(t)
         has.append(hit)
     stats = rows.agg(F.count("*").alias("__rows"), F.avg(length).alias("__mean"), *[F.count_if(h).alias(f"__n{k}") for k, h in enumerate(has)])
+    if corpus is not None:
+        stats = stats.drop("__rows", "__mean").join(F.broadcast(corpus))  # one row each
     # the longest, of several the last
     longest = max(range(len(long)), key=lambda k: (len(long[k]), k))
     every, any_ = has[0], has[0]
@@ -97,7 +100,7 @@ def graded(rows: DataFrame, columns: list[str], long: list[str], extra: Column |
     return hits.withColumn("bm", bm).withColumn("grade", F.col("__best")).drop("__best", "__rows", "__mean", *[f"__n{k}" for k in range(len(long))])
 
 
-def matches(turns: DataFrame, query: str, extra: Column | None = None) -> DataFrame:
+def matches(turns: DataFrame, query: str, extra: Column | None = None, corpus: DataFrame | None = None) -> DataFrame:
     """Matching turns with grade and bm. Short terms filter; alone they match with bm 0."""
     long, short = split_terms(query)
     keep = extra
@@ -105,7 +108,7 @@ def matches(turns: DataFrame, query: str, extra: Column | None = None) -> DataFr
         hit = like_ascii(F.col("text"), t)
         keep = hit if keep is None else keep & hit
     if long:
-        return graded(turns, ["text"], long, keep)
+        return graded(turns, ["text"], long, keep, corpus)
     if not short:
         return turns.limit(0).withColumn("grade", F.lit(1)).withColumn("bm", F.lit(0.0))
     return turns.filter(keep).withColumn("grade", F.lit(1)).withColumn("bm", F.lit(0.0))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threadlake.functions import text as X
 from threadlake.functions.instants import is_instant
-from threadlake.operators import catalog, folds, ingest, maintain, search, vectors
+from threadlake.operators import catalog, folds, ingest, maintain, search, trigrams, vectors
 from threadlake.operators.incremental import VersionedTarget, good_positions, present_files
 from threadlake.plans.log_sql import AS_OF, DELTA_MAX, FALLBACK, LINT, NOTE_QUERY, PHRASES, QUERY, SHORT, SQL
 from threadlake.sources.ranges import listing
@@ -72,6 +72,17 @@ def search_ranked(spark, d):
     return search.rank_sessions(_weighed(spark, d, QUERY), sessions(spark, d))
 
 
+def search_indexed(spark, d):
+    """search_ranked by way of a trigram index that was built in two versions."""
+    target = VersionedTarget(spark, f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}")
+    rows, first = turns(spark, d), F.pmod("turn_id", F.lit(3)) == 0
+    trigrams.add(target, rows.filter(first), block_rows=200)
+    trigrams.add(target, rows.filter(~first), block_rows=200)
+    hits = trigrams.matches(target, QUERY, ~F.coalesce(F.col("is_sidechain"), F.lit(False)))
+    hits = hits.join(broadcast_if_bounded(_headless(spark, d)), "session_id", "left_anti")
+    return search.rank_sessions(search.weigh(hits, AS_OF), sessions(spark, d))
+
+
 def search_top_turns(spark, d):
     hits = _weighed(spark, d, QUERY)
     return search.top_turns(hits, search.rank_sessions(hits, sessions(spark, d))).select("session_id", "turn_id", "place", F.round("w", 6).alias("w"))
@@ -615,7 +626,7 @@ def note_selection(spark, d):
 
 
 _ALL = [
-    search_ranked, search_top_turns, bm25_scores, fallback_strategy, short_term_search, snippet, memory_search, vector_dot, semantic_sessions, semantic_memories, embed_pending,
+    search_ranked, search_indexed, search_top_turns, bm25_scores, fallback_strategy, short_term_search, snippet, memory_search, vector_dot, semantic_sessions, semantic_memories, embed_pending,
     role_filter, visibility_filter, project_like, since_filter, sessions_grep, semi_project, anti_headless, orphans, canary_counts,
     session_file_fold, merge_state, sessions_rollup, touches_agg, tool_uses_explode, top_touches, drift_types, drift_blocks, stats_totals, busiest_projects, duplicate_turns, verify_counts, ffill_session, last_usage,
     sessions_list, show_ordered, show_context, show_last, show_head, show_text, top_files, resolve_prefixes, sample_turns, search_json,

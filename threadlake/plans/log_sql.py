@@ -256,6 +256,7 @@ _NOTES = "NT AS (SELECT doc_id AS note_id, source AS name, project AS descriptio
 
 SQL = {
     "search_ranked": _SEARCH + " SELECT * FROM RK",
+    "search_indexed": _SEARCH + " SELECT * FROM RK",
     "search_top_turns": _SEARCH + " SELECT session_id, turn_id, place, round(w, 6) AS w FROM (SELECT WH.*, row_number() OVER (PARTITION BY session_id ORDER BY w DESC, turn_id) AS place FROM WH WHERE session_id IN (SELECT session_id FROM RK)) WHERE place <= 3",
     "bm25_scores": f"WITH {_T}, {_graded('T', ['text'], PHRASES)} SELECT turn_id, round(bm, 6) AS bm FROM G",
     "fallback_strategy": f"WITH {_T}, {_graded('T', ['text'], FALLBACK.split())} SELECT turn_id, grade, round(bm, 6) AS bm FROM G",
