@@ -103,6 +103,17 @@ def test_line_ends_are_looked_for_in_the_whole_line(spark):
     assert {r.doc_id: r.line_end_share for r in quality.statistics(spark.createDataFrame(rows, DOCS), lists).collect()} == {1: 0.5, 2: 1.0}
 
 
+def test_labels_are_held_back_by_kind():
+    from types import SimpleNamespace as N
+
+    rows = [N(doc_id=k, prose=float(k % 3 > 0)) for k in range(24)]
+    held, taught = quality.held_back(rows)
+    assert len(held) == 6 and len(taught) == 18 and not {r.doc_id for r in held} & {r.doc_id for r in taught}
+    assert [r.prose for r in held] == [1.0] * 4 + [0.0] * 2
+    held, taught = quality.held_back(rows[:3])
+    assert {r.doc_id for r in held} == {0, 1} and {r.doc_id for r in taught} == {0, 2} and quality.held_back([]) == ([], [])
+
+
 def test_threshold():
     """It lies in the gap between the kinds, despite wrong labels far from it and one close by."""
     rng = np.random.default_rng(2)

@@ -199,18 +199,27 @@ def outlier_scores(table: DataFrame, weights: dict[str, float] | None = None) ->
     return table.select("item", "doc_id", "blank", F.round(score, 9).alias("score"))
 
 
+def held_back(labelled: list) -> tuple[list, list]:
+    """(held, taught): of the labelled documents of each kind one in HELD_BACK, and the others; the
+    only document of a kind serves for both."""
+    held, taught = [], []
+    for prose_like in (True, False):
+        own = [r for r in labelled if (r.prose >= 0.5) == prose_like]
+        held += own[::HELD_BACK]
+        taught += [r for k, r in enumerate(own) if k % HELD_BACK or len(own) == 1]
+    return held, taught
+
+
 def scored(documents: DataFrame, doc_labels: DataFrame, common_words: DataFrame) -> tuple[DataFrame, float | None, list]:
     """(item, doc_id, blank, score) of every document, the threshold (None without labels of both
     kinds), and the labelled scores that it comes from."""
     lists, _ = materialize(word_lists(common_words), "words")
     labelled = labelled_sample(documents, doc_labels)
-    held = [r for k, r in enumerate(labelled) if k % HELD_BACK == 0]
-    taught = [r for k, r in enumerate(labelled) if k % HELD_BACK]
-    kinds = {r.prose >= 0.5 for r in taught}, {r.prose >= 0.5 for r in held}
-    if kinds != ({True, False}, {True, False}):
+    held, taught = held_back(labelled)
+    if len({r.prose >= 0.5 for r in labelled}) < 2:
         rows = statistics(documents, lists)
         return rows.select("item", "doc_id", "blank", F.lit(0.0).alias("score")), None, []
-    common = lists.filter(F.col("lang") == EVERY).select(F.explode("words")).collect() if labelled else []
+    common = lists.filter(F.col("lang") == EVERY).select(F.explode("words")).collect()
     theta = fit_prose(taught, {r[0] for r in common})
     stats, _ = materialize(statistics(documents, lists, theta), "stats")
     scores, _ = materialize(outlier_scores(tails(stats)), "scores")
